@@ -64,10 +64,10 @@ LABELS = {
 }
 PERIOD_LABELS = LABELS | {"quarter": "'Q' || CAST(quarter(start) AS VARCHAR) || ' ' || strftime(start, '%Y')"}
 KEYS = {
-    "day": "year(start) AS year, start AS key",
-    "week": "isoyear(start) AS year, weekofyear(start) AS key",
-    "month": "year(start) AS year, month(start) AS key",
-    "quarter": "year(start) AS year, quarter(start) AS key",
+    "day": "CAST(year(start) AS INTEGER) AS year, start AS key",
+    "week": "CAST(isoyear(start) AS INTEGER) AS year, CAST(weekofyear(start) AS INTEGER) AS key",
+    "month": "CAST(year(start) AS INTEGER) AS year, CAST(month(start) AS INTEGER) AS key",
+    "quarter": "CAST(year(start) AS INTEGER) AS year, CAST(quarter(start) AS INTEGER) AS key",
 }
 
 

@@ -38,9 +38,10 @@ def sales_table(spark: SparkSession, sf_dir: str, columns: str | None = None) ->
     """Receipt lines from the order tables, with the canonical ``columns`` asked for.
 
     Only the tables those columns come from are joined. Each join looks up a
-    unique key, so no line is lost or repeated. Orders get their customers first,
-    before the much larger line table is joined; which side is broadcast is left
-    to the measured sizes.
+    unique key, so no line is lost or repeated. Orders get their customers before
+    the much larger line table is joined. Lines and orders both grow without
+    bound, so they are merged by key, which also spreads the lines over all
+    tasks; for the other tables the measured sizes decide.
     """
     wanted = columns.split() if columns else list(EXPRESSIONS)
     need = set(wanted)
@@ -49,6 +50,13 @@ def sales_table(spark: SparkSession, sf_dir: str, columns: str | None = None) ->
         return read_table(spark, sf_dir, name)
 
     lines = table("lineitem")
+    if need & (ORDER_COLUMNS | CUSTOMER_COLUMNS):
+        orders = table("orders")
+        if need & CUSTOMER_COLUMNS:
+            orders = orders.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        lines = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if need & PART_COLUMNS:
+        lines = lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     if need & SUPPLIER_COLUMNS:
         stores = table("supplier")
         if "region" in need:
@@ -57,13 +65,6 @@ def sales_table(spark: SparkSession, sf_dir: str, columns: str | None = None) ->
             )
             stores = stores.join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
         lines = lines.join(stores, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    if need & PART_COLUMNS:
-        lines = lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    if need & (ORDER_COLUMNS | CUSTOMER_COLUMNS):
-        orders = table("orders")
-        if need & CUSTOMER_COLUMNS:
-            orders = orders.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return lines.select(*(F.expr(EXPRESSIONS[c]).alias(c) for c in wanted))
 
 

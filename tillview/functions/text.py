@@ -22,12 +22,7 @@ def is_option(col: Column) -> Column:
     """True where the raw value is one of the options offered for its column.
 
     Options are the trimmed values and rows are matched by their raw value, so
-    "All" keeps exactly the rows whose value is present and already trimmed.
-    Only the first and last character are looked at: no option list is built.
+    "All" keeps exactly the rows whose value is present and already trimmed. The
+    test looks at the row alone: no option list is built.
     """
-    edges = list(WHITESPACE)
-    return (
-        col.isNotNull()
-        & ~F.substring(col, 1, 1).isin(edges)
-        & ~F.substring(col, -1, 1).isin(edges)
-    )
+    return col == strip(col)

@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from tillview.sources.staging import stage
 
 
+def largest_group(df: DataFrame, group: str) -> int:
+    """Rows in the largest group."""
+    row = df.groupBy(group).count().agg(F.max("count").alias("rows")).first()
+    return row["rows"] or 0
+
+
 def ordered_blocks(
     df: DataFrame, group: str, order: Sequence[Column], blocks: int | None = None
 ) -> DataFrame:
@@ -33,12 +39,16 @@ def block_sums(df: DataFrame, group: str, amounts: Mapping[str, Column]) -> Data
     """Per block and group: ``x``, ``x_before`` and ``x_total`` of each amount.
 
     One row per block and group; a group has at most as many rows as there are
-    blocks, so the windows are small.
+    blocks, so the windows are small. The result is staged: it is read more than
+    once, and its true size then decides how it is joined.
     """
     sums = df.groupBy("block", group).agg(*(e.alias(n) for n, e in amounts.items()))
     whole = Window.partitionBy(group)
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumns(
-        {f"{n}_before": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in amounts}
-        | {f"{n}_total": F.sum(n).over(whole) for n in amounts}
+    return stage(
+        sums.withColumns(
+            {f"{n}_before": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in amounts}
+            | {f"{n}_total": F.sum(n).over(whole) for n in amounts}
+        ),
+        f"block-sums-{group}",
     )

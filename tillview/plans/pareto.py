@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillview.functions.metrics import (
@@ -12,19 +12,97 @@ from tillview.functions.metrics import (
     round_scaled,
     total,
 )
-from tillview.operators.running import block_sums, ordered_blocks
+from tillview.operators.running import block_sums, largest_group, ordered_blocks
 from tillview.schema import ParetoParams, require
+from tillview.sources.staging import stage
+
+TASK_ROWS = 2_000_000
+
+
+def _by_net() -> list[Column]:
+    return [F.col("net").desc(), F.col("phone")]
+
+
+def _points(store_net: Column) -> Column:
+    """Contribution in hundredths of a percent, 0 where the store nets 0."""
+    share = F.try_divide(F.col("net").cast("double"), store_net.cast("double")) * 100
+    return F.coalesce(hundredths(share), F.lit(0).cast("long"))
+
+
+def _slice(rows: Column, params: ParetoParams) -> tuple[Column, Column]:
+    """Ranks kept of ``rows`` customers: above the first value, up to the second."""
+    chosen = F.greatest(F.lit(1), F.floor(rows * params.percent / 100))
+    return (F.lit(0), chosen) if params.top else (rows - chosen, rows)
+
+
+def _rank_stores(customers: DataFrame, params: ParetoParams) -> DataFrame:
+    """Rank and accumulate with one window per store.
+
+    Range partitioning by store serves the window and leaves the result sorted.
+    """
+    ordered = Window.partitionBy("store").orderBy(*_by_net())
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = _slice(F.col("rows"), params)
+    return (
+        customers.repartitionByRange("store")
+        .withColumns({"rows": F.count("*").over(whole), "store_net": F.sum("net").over(whole)})
+        .withColumn("points", _points(F.col("store_net")))
+        .withColumns({"rank": F.row_number().over(ordered), "reached": F.sum("points").over(running)})
+        .filter((F.col("rank") > first) & (F.col("rank") <= last))
+        .orderBy("store", *_by_net())
+    )
+
+
+def _rank_blocks(customers: DataFrame, params: ParetoParams, blocks: int | None) -> DataFrame:
+    """The same for stores too large for one task, carried from block to block.
+
+    Blocks outside every slice are dropped before their rows are moved.
+    """
+    ranked = ordered_blocks(customers, "store", _by_net(), blocks)
+    sizes = block_sums(ranked, "store", {"rows": F.count("*"), "net_sum": F.sum("net")})
+    valued = ranked.select("block", "store", "net").join(
+        sizes.select("block", "store", "net_sum_total"), ["block", "store"]
+    )
+    reached = block_sums(valued, "store", {"points": F.sum(_points(F.col("net_sum_total")))})
+    first, last = _slice(F.col("rows_total"), params)
+    touched = (
+        sizes.join(reached.select("block", "store", "points_before"), ["block", "store"])
+        .withColumns({"first": first, "last": last})
+        .filter("rows_before < last AND rows_before + rows > first")
+        .select("block", "store", "rows_before", "net_sum_total", "points_before", "first", "last")
+    )
+    inside = Window.partitionBy("block", "store").orderBy(*_by_net())
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        ranked.join(touched, ["block", "store"])
+        .repartitionByRange("block")
+        .withColumn("points", _points(F.col("net_sum_total")))
+        .withColumns(
+            {
+                "rank": F.row_number().over(inside) + F.col("rows_before"),
+                "reached": F.sum("points").over(running) + F.col("points_before"),
+            }
+        )
+        .filter("rank > first AND rank <= last")
+        .orderBy("block", "store", *_by_net())
+    )
 
 
 def pareto_customers(
-    sales: DataFrame, params: ParetoParams = ParetoParams(), blocks: int | None = None
+    sales: DataFrame,
+    params: ParetoParams = ParetoParams(),
+    task_rows: int = TASK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Per store the top or bottom share of customers, with cumulative contribution.
 
     Customers are ranked by net, largest first, and ties by phone. Contribution
     is rounded to hundredths of a percent before it is accumulated over the full
-    ranking; as integers, these sums are exact in any order. A store may hold any
-    number of customers: ranks and sums are carried from block to block.
+    ranking; as integers, these sums are exact in any order. When the largest
+    store has more than ``task_rows`` customers, no store is held in one task:
+    ranks and sums are carried over blocks of customers instead, with equal
+    results.
     """
     require(sales, "store", "phone", "gross", "net", "doc_no")
     if params.stores:
@@ -34,47 +112,19 @@ def pareto_customers(
         .groupBy("store", "phone")
         .agg(total("gross").alias("gross"), total("net").alias("net"), distinct("doc_no", "orders"))
     )
-    order = [F.col("net").desc(), F.col("phone")]
-    ranked = ordered_blocks(customers, "store", order, blocks)
-
-    sizes = block_sums(ranked, "store", {"rows": F.count("*"), "net_sum": F.sum("net")})
-    sizes = sizes.select("block", "store", "rows", "rows_before", "rows_total", "net_sum_total")
-    share = F.try_divide(F.col("net").cast("double"), F.col("net_sum_total").cast("double")) * 100
-    points = F.coalesce(hundredths(share), F.lit(0).cast("long"))
-    contributions = block_sums(
-        ranked.join(sizes, ["block", "store"]), "store", {"points": F.sum(points)}
-    ).select("block", "store", "points_before")
-
-    chosen = F.greatest(F.lit(1), F.floor(F.col("rows_total") * params.percent / 100))
-    first = F.lit(0) if params.top else F.col("rows_total") - chosen
-    last = chosen if params.top else F.col("rows_total")
-    slices = sizes.join(contributions, ["block", "store"]).withColumns({"first": first, "last": last})
-    touched = slices.filter(
-        (F.col("rows_before") < F.col("last")) & (F.col("rows_before") + F.col("rows") > F.col("first"))
-    )
-
-    inside = Window.partitionBy("block", "store").orderBy(*order)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    customers = stage(customers, "pareto")
+    if largest_group(customers, "store") <= task_rows:
+        ranked = _rank_stores(customers, params)
+    else:
+        ranked = _rank_blocks(customers, params, blocks)
     gross, net = F.col("gross").cast("double"), F.col("net").cast("double")
-    return (
-        ranked.join(touched, ["block", "store"])
-        .withColumn("points", points)
-        .withColumns(
-            {
-                "rank": F.row_number().over(inside) + F.col("rows_before"),
-                "reached": F.sum("points").over(running) + F.col("points_before"),
-            }
-        )
-        .filter((F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("last")))
-        .orderBy("store", "rank")
-        .select(
-            "store",
-            "phone",
-            gross.alias("gross"),
-            net.alias("net"),
-            round_scaled(discount_unguarded(gross, net)).alias("discount_pct"),
-            "orders",
-            (F.col("points") / 100).alias("contribution_pct"),
-            (F.col("reached") / 100).alias("cum_pct"),
-        )
+    return ranked.select(
+        "store",
+        "phone",
+        gross.alias("gross"),
+        net.alias("net"),
+        round_scaled(discount_unguarded(gross, net)).alias("discount_pct"),
+        "orders",
+        (F.col("points") / 100).alias("contribution_pct"),
+        (F.col("reached") / 100).alias("cum_pct"),
     )
