@@ -156,8 +156,11 @@ def option_values(
 def resolve_selection(
     df: DataFrame, name: str, values: Sequence[str], parents: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
-    """The options among ``values``; none found means "All"."""
+    """The options among ``values``, or every option when none is left.
+
+    What is looked up is bounded by ``values``.
+    """
+    options = option_values(df, name, parents)
     chosen = selected_values(values)
-    if not chosen:
-        return option_values(df, name, parents)
-    return option_values(df.filter(strip(F.col(name)).isin(chosen)), name, parents)
+    kept = options.filter(F.col("value").isin(chosen))
+    return options if not chosen or kept.isEmpty() else kept
