@@ -33,6 +33,8 @@ from tillview.schema import (
 )
 from tillview.sources.staging import stage
 
+BUSY_PHONES = 1000
+
 
 def first_purchase(df: DataFrame) -> DataFrame:
     """Date of the first purchase per phone over all rows given."""
@@ -53,10 +55,32 @@ def _customer_type(start) -> Column:
 def join_first_purchase(rows: DataFrame, first: DataFrame) -> DataFrame:
     """Selected rows with the first purchase date of their phone, if any.
 
-    ``first`` has one row per phone, so a phone with very many rows is skewed on
-    the left side only; adaptive execution splits such a partition.
+    One phone, or no phone at all, may stand on a large share of the rows. The
+    ``BUSY_PHONES`` phones with the most rows get their date from a broadcast of
+    at most that many rows; they and the rows without a phone then pass the join
+    on a key that matches nothing and spreads them over all tasks. Any other
+    phone has at most one row in ``BUSY_PHONES``.
     """
-    return rows.join(first, "phone", "left")
+    phone = F.col("phone")
+    dates = stage(first.select("phone", "first_date"), "first-purchase")
+    busiest = (
+        rows.filter(phone.isNotNull())
+        .groupBy("phone")
+        .count()
+        .orderBy(F.col("count").desc(), "phone")
+        .limit(BUSY_PHONES)
+    )
+    busy = dates.join(F.broadcast(busiest), "phone", "left_semi").withColumnRenamed("first_date", "busy_date")
+    marked = rows.join(F.broadcast(busy), "phone", "left")
+    is_apart = phone.isNull() | F.col("busy_date").isNotNull()
+    spread = F.when(is_apart, F.xxhash64(*(F.col(c) for c in rows.columns))).otherwise(F.lit(0))
+    keyed = marked.withColumn("key", F.struct(F.when(~is_apart, phone).alias("phone"), spread.alias("spread")))
+    others = dates.select(
+        F.struct("phone", F.lit(0).cast("long").alias("spread")).alias("key"), "first_date"
+    )
+    return keyed.join(others, "key", "left").select(
+        *rows.columns, F.coalesce("busy_date", "first_date").alias("first_date")
+    )
 
 
 def customer_types(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
