@@ -96,3 +96,21 @@ def test_products(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="store"):
         store_summary(sales(spark, GAPS, *BASE))
+
+
+def test_session_time_zone_does_not_matter(spark):
+    rows = [("2024-03-10 02:30:00", 1, 1, "a", "p"), ("2024-03-31 23:59:59", 2, 2, "b", "p")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = values(time_trend(sales(spark, rows, *BASE), Period("day")), "label", "net")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(got) == 22 and got[0] == ("2024-03-10", 1) and got[-1] == ("2024-03-31", 2)
+
+
+def test_floating_point_amounts(spark):
+    df = sales(spark, GAPS, *BASE)
+    floats = df.withColumns({c: df[c].cast("double") for c in ("gross", "net")})
+    assert kpis(floats).collect() == kpis(df).collect()
+    assert time_trend(floats, Period("month")).collect() == time_trend(df, Period("month")).collect()

@@ -81,3 +81,10 @@ def test_hot_store_with_ties_equals_brute_force(spark, percent, top):
     for task_rows, blocks in ((10**6, None), (0, 7)):
         got = pareto_customers(df, params, task_rows, blocks)
         assert values(got, "store", "phone", "contribution_pct", "cum_pct") == want
+
+
+def test_floating_point_amounts(spark):
+    df = table(spark, SMALL)
+    floats = df.withColumns({c: df[c].cast("double") for c in ("gross", "net")})
+    for task_rows in (100, 0):
+        assert pareto_customers(floats, task_rows=task_rows).collect() == pareto_customers(df).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillview.functions.display import display
@@ -18,6 +18,7 @@ from tillview.operators.filters import (
     filter_condition,
     resolve_filters,
     selected_values,
+    timestamp_literal,
 )
 from tillview.schema import (
     POSITION,
@@ -48,7 +49,7 @@ def first_purchase(df: DataFrame) -> DataFrame:
 
 def _customer_type(start) -> Column:
     first_date = F.col("first_date")
-    is_new = first_date >= F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz")
+    is_new = first_date >= timestamp_literal(start)
     return F.when(is_new, F.lit(TYPE_NEW)).otherwise(F.lit(TYPE_RETURNING))
 
 
@@ -125,17 +126,13 @@ def _first_present(sales: DataFrame, name: str) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), place)).alias(name)
 
 
-def build_customers(sales: DataFrame, params: CustomerParams = CustomerParams()) -> DataFrame:
-    """One row per phone, or per phone and store, tagged and above the minimum net.
-
-    Idle time counts whole 24-hour days up to the latest order of the selection.
-    """
+def _group_customers(sales: DataFrame, params: CustomerParams) -> DataFrame:
     keys = ["phone", "store"] if params.per_store else ["phone"]
     require(sales, *keys, "gross", "net", "doc_no", "customer_name", "name_check", "phone_status")
     known = sales
     for key in keys:
         known = known.filter(F.col(key).isNotNull())
-    customers = known.groupBy(*keys).agg(
+    return known.groupBy(*keys).agg(
         _first_present(sales, "customer_name"),
         _first_present(sales, "name_check"),
         total("gross").alias("gross"),
@@ -145,7 +142,10 @@ def build_customers(sales: DataFrame, params: CustomerParams = CustomerParams())
         F.max("order_ts").alias("last_order"),
         _first_present(sales, "phone_status"),
     )
-    latest = sales.agg(F.max("order_ts")).scalar()
+
+
+def _tag_customers(customers: DataFrame, latest: Column, params: CustomerParams) -> DataFrame:
+    """Discount, idle time and tag; idle time counts whole 24-hour days up to ``latest``."""
     idle = F.extract(F.lit("DAY"), latest - F.col("last_order")).cast("int")
     gross, net = F.col("gross").cast("double"), F.col("net").cast("double")
     tag = (
@@ -166,30 +166,44 @@ def build_customers(sales: DataFrame, params: CustomerParams = CustomerParams())
     )
 
 
-def _keep_selected(customers: DataFrame, options_of: DataFrame, name: str, values) -> DataFrame:
-    """Filter the list by one of its columns, with options taken from a table.
+def build_customers(sales: DataFrame, params: CustomerParams = CustomerParams()) -> DataFrame:
+    """One row per phone, or per phone and store, tagged and above the minimum net."""
+    latest = sales.agg(F.max("order_ts")).scalar()
+    return _tag_customers(_group_customers(sales, params), latest, params)
 
-    Without any option there is no filter. One row comes back, bounded by the
-    caller's list.
-    """
-    chosen = selected_values(values)
+
+def _options_seen(name: str, values) -> dict[str | None, Column]:
+    """Whether a column has any option, under None, and which of the chosen ones."""
     value = F.col(name)
-    if not chosen:
-        if options_of.filter(value.isNotNull()).isEmpty():
-            return customers
-        return customers.filter(is_option(value))
-    found = options_of.agg(
-        F.count(value).alias("present"),
-        F.collect_set(F.when(strip(value).isin(chosen), strip(value))).alias("kept"),
-    ).first()
-    if not found["present"]:
+    seen = {None: F.max(value.isNotNull())}
+    return seen | {v: F.max(strip(value) == F.lit(v)) for v in selected_values(values)}
+
+
+def _keep_selected(customers: DataFrame, seen: dict[str | None, bool | None], name: str) -> DataFrame:
+    """Filter the list by one of its columns; without any option there is no filter."""
+    if not seen[None]:
         return customers
-    return customers.filter(value.isin(sorted(found["kept"])) if found["kept"] else is_option(value))
+    kept = [v for v, found in seen.items() if v is not None and found]
+    return customers.filter(F.col(name).isin(kept) if kept else is_option(F.col(name)))
 
 
 def _listed(sales: DataFrame, params: CustomerParams) -> DataFrame:
-    """The customer list before sorting, from a table written once."""
-    built = stage(build_customers(sales, params), "customers")
+    """The customer list before sorting, from a table written once.
+
+    The latest order and the name checks present are noted while the sales pass
+    by. All of these are maxima, so a task that runs twice does not change them.
+    """
+    checks = _options_seen("name_check", params.name_check)
+    noted = Observation()
+    passing = sales.observe(
+        noted,
+        F.max("order_ts").alias("latest"),
+        *(seen.alias(f"check_{i}") for i, seen in enumerate(checks.values())),
+    )
+    grouped = stage(_group_customers(passing, params), "customers")
+    facts = noted.get
+    latest = timestamp_literal(facts["latest"]) if facts.get("latest") else F.lit(None).cast("timestamp_ntz")
+    built = _tag_customers(grouped, latest, params)
     shown = (
         (params.show_inactive, TAG_INACTIVE),
         (params.show_vip, TAG_VIP),
@@ -197,8 +211,11 @@ def _listed(sales: DataFrame, params: CustomerParams) -> DataFrame:
     )
     tags = [tag for wanted, tag in shown if wanted]
     listed = built.filter(F.col("tag").isin(tags)) if tags else built
-    listed = _keep_selected(listed, built, "phone_status", params.phone_status)
-    return _keep_selected(listed, sales, "name_check", params.name_check)
+    statuses = _options_seen("phone_status", params.phone_status)
+    found = built.agg(*statuses.values()).first()
+    listed = _keep_selected(listed, dict(zip(statuses, found)), "phone_status")
+    present = {name: facts.get(f"check_{i}") for i, name in enumerate(checks)}
+    return _keep_selected(listed, present, "name_check")
 
 
 def _output(listed: DataFrame) -> DataFrame:

@@ -27,8 +27,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet under the shared folder and read it back.
 
     The result has no lineage: losing an executor afterwards costs a re-read.
+    All tables of one application share a folder, which can go when it ends.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    path = f"{staging_root(spark).rstrip('/')}/{application}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
