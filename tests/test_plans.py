@@ -9,8 +9,14 @@ from tillview.catalog.queries import QUERIES
 from tillview.catalog.tables import sales_table
 from tillview.operators.filters import filter_condition, resolve_filters
 from tillview.plans import customers
-from tillview.plans.customers import customer_types, first_purchase, join_first_purchase
-from tillview.plans.overview import kpis, time_trend
+from tillview.plans.customers import (
+    build_customers,
+    customer_types,
+    first_purchase,
+    join_first_purchase,
+)
+from tillview.plans.overview import kpis, store_summary, time_trend
+from tillview.plans.pareto import pareto_customers
 from tillview.plans.revenue import region_period, top_bottom_stores
 from tillview.schema import Filters, Period
 
@@ -95,3 +101,16 @@ def test_rows_of_a_busy_phone_are_spread(spark, monkeypatch):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_distinct_counts_are_shuffled_by_value(stored):
+    """A hot store or phone is spread by the values counted, not held by one task."""
+    by_store = plan(store_summary(stored))
+    assert re.search(r"hashpartitioning\(store#\d+, (doc_no|phone)#\d+, (doc_no|phone)#\d+, gid#\d+", by_store)
+    by_customer = plan(build_customers(stored))
+    assert re.search(r"hashpartitioning\(phone#\d+, store#\d+, doc_no#\d+", by_customer)
+
+
+def test_pareto_sorts_by_the_partitioning_of_its_window(stored):
+    text = plan(pareto_customers(stored))
+    assert text.count("Exchange") == 1 and "rangepartitioning(store" in text
