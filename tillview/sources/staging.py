@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: set[str] = set()
 
-def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, as in tests, it lies below the warehouse, which all executors share too.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillview-"))
-        root = context.getCheckpointDir()
-    return root
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+    folder = f"{root.rstrip('/')}/{context.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_drop_at_exit, folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet under the shared folder and read it back.
 
-    The result has no lineage: losing an executor afterwards costs a re-read.
-    All tables of one application share a folder, which can go when it ends.
+    The result has no lineage: losing an executor afterwards costs a re-read. The table goes
+    with ``drop_staged``, or when Python ends.
     """
-    spark = df.sparkSession
-    application = spark.sparkContext.applicationId
-    path = f"{staging_root(spark).rstrip('/')}/{application}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged. Frames that read it can no longer run."""
+    folder = shared_folder(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_at_exit(folder: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None and folder in _folders:
+        if folder.endswith(spark.sparkContext.applicationId):
+            drop_staged(spark)
