@@ -190,14 +190,15 @@ def span_text(spans: F.Column) -> F.Column:
 
 def secret_digest(documents: DataFrame) -> DataFrame:
     """Counts and a digest of the base spans, and all spans as text, for every document."""
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast(LongType()).alias(f"n_{kind}")
+
     found = scan_secrets(documents)
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
         "doc_id",
-        *(
-            F.size(F.filter("secrets", lambda s, k=kind: s["kind"] == k)).cast(LongType()).alias(f"n_{kind}")
-            for kind in BASE_KINDS
-        ),
+        *map(count, BASE_KINDS),
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
         span_text(F.col("secrets")).alias("spans"),
     )
