@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillview.llm.bpe import round_trip
+from tillview.llm.decontaminate import decontaminate
 from tillview.llm.quality import score_quality
 from tillview.llm.secrets import secret_digest
 from tillview.llm.toxicity import score_toxicity
@@ -21,6 +22,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
 
