@@ -12,6 +12,7 @@ from tillview.llm.decontaminate import decontaminate
 from tillview.llm.quality import score_quality
 from tillview.llm.secrets import secret_digest
 from tillview.llm.toxicity import score_toxicity
+from tillview.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path)
@@ -41,6 +46,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_warc": op3_warc,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,

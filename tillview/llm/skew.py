@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def look_up(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
+def look_up(
+    rows: DataFrame, facts: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None
+) -> DataFrame:
     """Join ``facts``, one row per ``key``, to ``rows``; no task gets all rows of a hot key.
 
     A key is hot if it holds more rows than an even share of a shuffle partition, so there are
     no more hot keys than partitions and their facts can be broadcast. Rows of other keys meet
     in a shuffle join, in which rows of hot keys, already served, are spread over all tasks.
-    ``rows`` should be a staged table, for it is read twice. Null keys find nothing.
+    ``rows`` is read more than once, so it should be a table or staged; ``counts`` may bring
+    the number of rows of every key, as ``key`` and ``count``. Null keys find nothing.
     """
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = rows.count()
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
     hot = [r[0] for r in counts.where(F.col("count") > max(1, total // partitions)).select(key).collect()]
     names = [c for c in facts.columns if c != key]
     if not hot:
