@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillview.llm.bpe import round_trip
 from tillview.llm.decontaminate import decontaminate
+from tillview.llm.hamming import search
 from tillview.llm.quality import score_quality
 from tillview.llm.secrets import secret_digest
 from tillview.llm.toxicity import score_toxicity
@@ -39,6 +41,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path)
@@ -47,6 +54,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
+    "op4_hamming": op4_hamming,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,
