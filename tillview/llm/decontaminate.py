@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from tillview.llm.arrays import BASE, mix, slices, words
+from tillview.llm.bits import BitTable, bit_table
 from tillview.llm.skew import look_up
 from tillview.sources.staging import stage
 
@@ -36,7 +37,6 @@ LEAST = 5
 #: Word offsets that count.
 MASKS = ((0, 3, 4, 6, 7, 8), (0, 1, 2, 3, 6, 8), (0, 1, 5, 6, 7, 8))
 SPAN = 9
-TABLE_BITS = 24
 
 
 def seeds(hashes: np.ndarray, rows: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +53,6 @@ def seeds(hashes: np.ndarray, rows: np.ndarray, mask: tuple[int, ...]) -> tuple[
     return mix(out[first]), first
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64((1 << TABLE_BITS) - 1)
-    return (hashes & low).astype(np.int64), ((hashes >> np.uint64(32)) & low).astype(np.int64)
-
-
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -119,48 +114,23 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     return items.select("item_key", "words").mapInArrow(run, "seed long, item_key long, at int").distinct()
 
 
-def seed_table(found: DataFrame) -> np.ndarray:
-    """Two bits of ``2**TABLE_BITS`` set for every seed; the driver gets a word per 64 bits at most."""
-    mask = (1 << TABLE_BITS) - 1
-    places = found.select(
-        F.explode(
-            F.array(
-                F.col("seed").bitwiseAND(F.lit(mask)),
-                F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(mask)),
-            )
-        ).alias("bit")
-    )
-    bit = F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    rows = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.int64)
-    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little")
-
-
 def document_stretches(
-    documents: DataFrame, table: np.ndarray, lengths: list[int], key: str, text: str
+    documents: DataFrame, table: BitTable, lengths: list[int], key: str, text: str
 ) -> DataFrame:
     """Words around seeds that may meet the benchmark: key, stretch, words, seeds, places."""
-    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+    shared = documents.sparkSession.sparkContext.broadcast(table)
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
     schema = documents.select(key).schema.add("stretch", LongType()).add("words", ArrayType(LongType()))
     schema = schema.add("seeds", ArrayType(LongType())).add("places", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared.value
-
-        def marked(bit: np.ndarray) -> np.ndarray:
-            return (packed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-
         for batch in batches:
             for row, data, at in slices(pc.utf8_lower(batch.column(1))):
                 _, _, rows, hashes = words(data, at)
                 all_seeds, all_first, all_ends = [], [], []
                 for mask in masks:
                     found, first = seeds(hashes, rows, mask)
-                    low, high = _bits(found)
-                    near = np.flatnonzero(marked(low))
-                    near = near[marked(high[near])]
+                    near = shared.value.may_hold(found)
                     all_seeds.append(found[near])
                     all_first.append(first[near])
                     all_ends.append(first[near] + mask[-1] + 1)
@@ -203,7 +173,7 @@ def find_contaminated(
     table = stage(benchmark_seeds(items), "decontaminate-seeds")
     lengths = [r[0] for r in items.select(F.size("words")).where(F.size("words") < SPAN).distinct().collect()]
     found = stage(
-        document_stretches(documents, seed_table(table), sorted(lengths), key, text), "decontaminate-stretches"
+        document_stretches(documents, bit_table(table, "seed"), sorted(lengths), key, text), "decontaminate-stretches"
     )
     once = found.groupBy("stretch").agg(
         F.first("words").alias("words"), F.first("seeds").alias("seeds"), F.first("places").alias("places")

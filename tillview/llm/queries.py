@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillview.llm.bpe import round_trip
 from tillview.llm.decontaminate import decontaminate
 from tillview.llm.hamming import search
+from tillview.llm.near_duplicates import near_duplicates
 from tillview.llm.quality import score_quality
 from tillview.llm.secrets import secret_digest
 from tillview.llm.toxicity import score_toxicity
@@ -25,6 +26,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hamming": op4_hamming,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
