@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillview.llm.bpe import round_trip
 from tillview.llm.decontaminate import decontaminate
+from tillview.llm.disclosure import span_digest
 from tillview.llm.hamming import search
 from tillview.llm.near_duplicates import near_duplicates
 from tillview.llm.quality import score_quality
@@ -51,6 +52,10 @@ def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path)
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op4_hamming": op4_hamming,
+    "op5_disclosure": op5_disclosure,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_near_duplicates": op8_near_duplicates,
