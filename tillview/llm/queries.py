@@ -14,6 +14,7 @@ from tillview.llm.disclosure import span_digest
 from tillview.llm.hamming import search
 from tillview.llm.near_duplicates import near_duplicates
 from tillview.llm.quality import score_quality
+from tillview.llm.repeats import cut_repeats
 from tillview.llm.secrets import secret_digest
 from tillview.llm.toxicity import score_toxicity
 from tillview.llm.warc import archive_pages
@@ -43,6 +44,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_repeats": op2_repeats,
     "op3_warc": op3_warc,
     "op4_hamming": op4_hamming,
     "op5_disclosure": op5_disclosure,
