@@ -1,0 +1,37 @@
+"""Small tables for the operators on training data."""
+
+from pyspark.sql import functions as F
+
+SMALL = "/root/testdata/sf0.001"
+LONG = "The quick brown fox jumps over the lazy dog, again and again. " * 4000
+
+#: Null and empty texts, a repeated row, a repeated id, a null id, a very long text, wide characters.
+EDGE = [
+    (1, None),
+    (2, ""),
+    (3, "one two"),
+    (3, "one two"),
+    (3, "another text under the same id"),
+    (None, "a text without an id"),
+    (4, LONG),
+    (5, "é 👍 中文 ñandú " * 10),
+]
+
+#: Names that operators use inside; they must not get in the way.
+CLASHES = (
+    "label score predicted held_out statistics key n total strong counted word words seeds places stretch items node own "
+    "prefixes root links entities terms text_key tokens bytes doc id copies pieces gram class position secrets fold label_key"
+).split()
+
+
+def documents(spark, rows, clashes=True):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit(c) for c in CLASHES}) if clashes else df
+
+
+def table(spark, name, folder=SMALL):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def by_id(df):
+    return {row.doc_id: row for row in df.collect()}

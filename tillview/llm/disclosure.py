@@ -101,8 +101,8 @@ def _positions(found: Column, parts: Column, kind: int) -> Column:
     return F.aggregate(zipped, none, step, lambda state: state["spans"])
 
 
-def with_entities(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Adds entities: kind, start, end, value and the text around it, by kind, then start."""
+def with_entities(documents: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
+    """Adds a column of entities: kind, start, end, value and the text around it, by kind, then start."""
     own = F.coalesce(F.col(text), F.lit(""))
     found = documents.withColumns(
         {f"__found{k}": F.regexp_extract_all(own, F.lit(p), F.lit(0)) for k, p in enumerate(PATTERNS)}
@@ -112,7 +112,7 @@ def with_entities(documents: DataFrame, text: str = "text") -> DataFrame:
         matches = F.col(f"__found{k}")
         here = F.when(F.size(matches) > 0, _positions(matches, F.split(own, pattern, -1), k))
         spans.append(_kept(here, k))
-    return found.withColumn("entities", F.concat(*spans)).drop(*(f"__found{k}" for k in range(len(PATTERNS))))
+    return found.withColumn(out, F.concat(*spans)).drop(*(f"__found{k}" for k in range(len(PATTERNS))))
 
 
 def _kept(spans: Column, kind: int) -> Column:
@@ -247,13 +247,13 @@ def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     counts = terms.join(texts.select("text_key", "copies"), "text_key").select(
         F.col("text_key").alias("__text_key"), F.col("copies").alias("count")
     )
-    joined = look_up(marked, terms.withColumnRenamed("text_key", "__text_key"), "__text_key", "left", counts)
-    spanned = with_entities(joined.withColumnRenamed("terms", "__terms"), text)
+    renamed = terms.select(F.col("text_key").alias("__text_key"), F.col("terms").alias("__terms"))
+    spanned = with_entities(look_up(marked, renamed, "__text_key", "left", counts), text, "__entities")
     cuts = F.array_sort(
         F.concat(
-            F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"))),
+            F.transform("__entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"))),
             F.transform(
-                _apart("entities", "__terms"),
+                _apart("__entities", "__terms"),
                 lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(TERM).alias("kind")),
             ),
         )

@@ -183,9 +183,9 @@ def stored_members(file, size: int) -> dict[str, tuple[int, int]]:
     """Start and length of every stored member, from the central directory."""
     tail_at = max(0, size - 22 - UNSET16)
     tail = _read(file, tail_at, size - tail_at)
-    end = tail.rfind(END)
+    end = tail.rfind(END, 0, max(0, len(tail) - 18))
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-        end = tail.rfind(END, 0, end)
+        end = tail.rfind(END, 0, end + 3)
     if end < 0:
         raise ValueError("not a ZIP package")
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
