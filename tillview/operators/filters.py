@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillview.functions.text import is_option, strip
-from tillview.schema import ALL, PARENTS, Filters, require
+from tillview.schema import ALL, PARENTS, POSITION, Filters, require
 
 
 def timestamp_literal(day: date | datetime) -> Column:
@@ -78,14 +78,15 @@ def filter_condition(df: DataFrame, filters: Filters) -> Column:
     return condition
 
 
-def resolve_filters(df: DataFrame, filters: Filters) -> Filters:
+def resolve_filters(df: DataFrame, filters: Filters, with_start: bool = True) -> Filters:
     """Fill in default dates and drop choices that are not among the options.
 
     A choice of which nothing is left stands for "All". Options of a dimension
     depend on what its parents resolved to, so each is looked up under every
     outcome its parents may have; all of it is one aggregate with one row, whose
     size is bounded by the caller's lists. Without choices and with both dates
-    given there is nothing to look up and no job runs.
+    given there is nothing to look up and no job runs. A missing start excludes no
+    row; ``with_start=False`` leaves it open for callers that need no date.
     """
     _check_parents(df, filters.dimensions)
     wanted = {}
@@ -94,7 +95,7 @@ def resolve_filters(df: DataFrame, filters: Filters) -> Filters:
         if chosen and name in df.columns:
             wanted[name] = chosen
     lookups = []
-    if filters.start is None:
+    if filters.start is None and with_start:
         lookups.append(F.min("order_ts").cast("date").alias("start"))
     if filters.end is None:
         lookups.append(F.max("order_ts").cast("date").alias("end"))
@@ -124,19 +125,19 @@ def resolve_filters(df: DataFrame, filters: Filters) -> Filters:
             resolved[name] = tuple(sorted(row[label(name, kept)]))
         elif name in filters.dimensions:
             resolved[name] = ()
-    dates = {n: row[n] for n in ("start", "end") if getattr(filters, n) is None}
+    dates = {n: row[n] for n in ("start", "end") if n in row and getattr(filters, n) is None}
     return replace(filters, **resolved, **dates)
 
 
 def apply_filters(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Rows inside the date range whose dimensions are all selected."""
-    resolved = resolve_filters(df, filters)
+    resolved = resolve_filters(df, filters, with_start=False)
     return df.filter(filter_condition(df, resolved))
 
 
 def filtered_rows(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
-    """The selected rows with all their columns, as a raw view."""
-    return apply_filters(df, filters)
+    """The selected rows with all the columns of their input, as a raw view."""
+    return apply_filters(df, filters).drop(POSITION)
 
 
 def option_values(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillview.functions.display import display
@@ -20,6 +20,7 @@ from tillview.operators.filters import (
     selected_values,
     timestamp_literal,
 )
+from tillview.operators.lookup import look_up
 from tillview.schema import (
     POSITION,
     TAG_INACTIVE,
@@ -32,9 +33,6 @@ from tillview.schema import (
     Filters,
     require,
 )
-from tillview.sources.staging import stage
-
-BUSY_PHONES = 1000
 
 
 def first_purchase(df: DataFrame) -> DataFrame:
@@ -48,40 +46,19 @@ def first_purchase(df: DataFrame) -> DataFrame:
 
 
 def _customer_type(start) -> Column:
-    first_date = F.col("first_date")
-    is_new = first_date >= timestamp_literal(start)
+    """Without a start there are no rows to tell apart."""
+    is_new = F.col("first_date") >= timestamp_literal(start) if start else F.lit(None).cast("boolean")
     return F.when(is_new, F.lit(TYPE_NEW)).otherwise(F.lit(TYPE_RETURNING))
 
 
 def join_first_purchase(rows: DataFrame, first: DataFrame) -> DataFrame:
     """Selected rows with the first purchase date of their phone, if any.
 
-    One phone, or no phone at all, may stand on a large share of the rows. The
-    ``BUSY_PHONES`` phones with the most rows get their date from a broadcast of
-    at most that many rows; they and the rows without a phone then pass the join
-    on a key that matches nothing and spreads them over all tasks. Any other
-    phone has at most one row in ``BUSY_PHONES``.
+    One phone, or no phone at all, may stand on a large share of the rows. Rows without a
+    phone have no date and pass no join; a phone with more rows than an even share of a
+    partition gets its date from a broadcast of as many rows as there are partitions at most.
     """
-    phone = F.col("phone")
-    dates = stage(first.select("phone", "first_date"), "first-purchase")
-    busiest = (
-        rows.filter(phone.isNotNull())
-        .groupBy("phone")
-        .count()
-        .orderBy(F.col("count").desc(), "phone")
-        .limit(BUSY_PHONES)
-    )
-    busy = dates.join(F.broadcast(busiest), "phone", "left_semi").withColumnRenamed("first_date", "busy_date")
-    marked = rows.join(F.broadcast(busy), "phone", "left")
-    is_apart = phone.isNull() | F.col("busy_date").isNotNull()
-    spread = F.when(is_apart, F.xxhash64(*(F.col(c) for c in rows.columns))).otherwise(F.lit(0))
-    keyed = marked.withColumn("key", F.struct(F.when(~is_apart, phone).alias("phone"), spread.alias("spread")))
-    others = dates.select(
-        F.struct("phone", F.lit(0).cast("long").alias("spread")).alias("key"), "first_date"
-    )
-    return keyed.join(others, "key", "left").select(
-        *rows.columns, F.coalesce("busy_date", "first_date").alias("first_date")
-    )
+    return look_up(rows, first.select("phone", "first_date"), "phone")
 
 
 def customer_types(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
@@ -127,21 +104,29 @@ def _first_present(sales: DataFrame, name: str) -> Column:
 
 
 def _group_customers(sales: DataFrame, params: CustomerParams) -> DataFrame:
+    """Numbers and texts of each customer, aggregated apart.
+
+    Sums, bounds and the distinct count are held in buffers of fixed size and so hash; texts
+    need a sort, which then carries neither the numbers nor the documents counted. Both sides
+    come out partitioned by customer and meet without another shuffle.
+    """
     keys = ["phone", "store"] if params.per_store else ["phone"]
     require(sales, *keys, "gross", "net", "doc_no", "customer_name", "name_check", "phone_status")
     known = sales
     for key in keys:
         known = known.filter(F.col(key).isNotNull())
-    return known.groupBy(*keys).agg(
-        _first_present(sales, "customer_name"),
-        _first_present(sales, "name_check"),
+    numbers = known.groupBy(*keys).agg(
         total("gross").alias("gross"),
         total("net").alias("net"),
         distinct("doc_no", "orders"),
         F.min("order_ts").alias("first_order"),
         F.max("order_ts").alias("last_order"),
-        _first_present(sales, "phone_status"),
     )
+    texts = known.groupBy(*keys).agg(
+        *(_first_present(sales, c) for c in ("customer_name", "name_check", "phone_status"))
+    )
+    names = ("customer_name", "name_check", "gross", "net", "orders", "first_order", "last_order", "phone_status")
+    return numbers.join(texts, keys).select(*keys, *names)
 
 
 def _tag_customers(customers: DataFrame, latest: Column, params: CustomerParams) -> DataFrame:
@@ -172,38 +157,25 @@ def build_customers(sales: DataFrame, params: CustomerParams = CustomerParams())
     return _tag_customers(_group_customers(sales, params), latest, params)
 
 
-def _options_seen(name: str, values) -> dict[str | None, Column]:
-    """Whether a column has any option, under None, and which of the chosen ones."""
-    value = F.col(name)
-    seen = {None: F.max(value.isNotNull())}
-    return seen | {v: F.max(strip(value) == F.lit(v)) for v in selected_values(values)}
-
+def _keeps(rows: DataFrame, name: str, values) -> Column:
+    """Condition on a list by one of its columns, whose options are those among ``rows``.
 
-def _keep_selected(customers: DataFrame, seen: dict[str | None, bool | None], name: str) -> DataFrame:
-    """Filter the list by one of its columns; without any option there is no filter."""
-    if not seen[None]:
-        return customers
-    kept = [v for v, found in seen.items() if v is not None and found]
-    return customers.filter(F.col(name).isin(kept) if kept else is_option(F.col(name)))
+    Chosen values that are options are kept; if none is, every option is; without any option
+    there is no filter. What ``rows`` hold is a subquery of one row, so nothing runs before the
+    report does.
+    """
+    value, chosen = F.col(name), selected_values(values)
+    any_option = rows.agg(F.max(value.isNotNull())).scalar()
+    if not chosen:
+        return F.coalesce(~any_option, F.lit(True)) | is_option(value)
+    any_chosen = rows.agg(F.max(strip(value).isin(chosen))).scalar()
+    kept = F.when(F.coalesce(any_chosen, F.lit(False)), value.isin(chosen)).otherwise(is_option(value))
+    return F.coalesce(~any_option, F.lit(True)) | kept
 
 
 def _listed(sales: DataFrame, params: CustomerParams) -> DataFrame:
-    """The customer list before sorting, from a table written once.
-
-    The latest order and the name checks present are noted while the sales pass
-    by. All of these are maxima, so a task that runs twice does not change them.
-    """
-    checks = _options_seen("name_check", params.name_check)
-    noted = Observation()
-    passing = sales.observe(
-        noted,
-        F.max("order_ts").alias("latest"),
-        *(seen.alias(f"check_{i}") for i, seen in enumerate(checks.values())),
-    )
-    grouped = stage(_group_customers(passing, params), "customers")
-    facts = noted.get
-    latest = timestamp_literal(facts["latest"]) if facts.get("latest") else F.lit(None).cast("timestamp_ntz")
-    built = _tag_customers(grouped, latest, params)
+    """The customer list before sorting."""
+    built = build_customers(sales, params)
     shown = (
         (params.show_inactive, TAG_INACTIVE),
         (params.show_vip, TAG_VIP),
@@ -211,11 +183,8 @@ def _listed(sales: DataFrame, params: CustomerParams) -> DataFrame:
     )
     tags = [tag for wanted, tag in shown if wanted]
     listed = built.filter(F.col("tag").isin(tags)) if tags else built
-    statuses = _options_seen("phone_status", params.phone_status)
-    found = built.agg(*statuses.values()).first()
-    listed = _keep_selected(listed, dict(zip(statuses, found)), "phone_status")
-    present = {name: facts.get(f"check_{i}") for i, name in enumerate(checks)}
-    return _keep_selected(listed, present, "name_check")
+    listed = listed.filter(_keeps(built, "phone_status", params.phone_status))
+    return listed.filter(_keeps(sales, "name_check", params.name_check))
 
 
 def _output(listed: DataFrame) -> DataFrame:
