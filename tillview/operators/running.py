@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 from tillview.sources.staging import stage
 
 
-def largest_group(df: DataFrame, group: str) -> int:
-    """Rows in the largest group."""
-    row = df.groupBy(group).count().agg(F.max("count").alias("rows")).first()
-    return row["rows"] or 0
-
-
 def ordered_blocks(
     df: DataFrame, group: str, order: Sequence[Column], blocks: int | None = None
 ) -> DataFrame:

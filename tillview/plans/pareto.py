@@ -12,12 +12,10 @@ from tillview.functions.metrics import (
     round_scaled,
     total,
 )
-from tillview.operators.running import block_sums, largest_group, ordered_blocks
+from tillview.operators.running import block_sums, ordered_blocks
 from tillview.schema import ParetoParams, require
 from tillview.sources.staging import stage
 
-TASK_ROWS = 2_000_000
-
 
 def _by_net() -> list[Column]:
     return [F.col("net").desc(), F.col("phone")]
@@ -35,49 +33,26 @@ def _slice(rows: Column, params: ParetoParams) -> tuple[Column, Column]:
     return (F.lit(0), chosen) if params.top else (rows - chosen, rows)
 
 
-def _rank_stores(customers: DataFrame, params: ParetoParams) -> DataFrame:
-    """Rank and accumulate with one window per store.
-
-    Range partitioning by store serves the window and leaves the result sorted.
-    """
-    ordered = Window.partitionBy("store").orderBy(*_by_net())
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = _slice(F.col("rows"), params)
-    return (
-        customers.repartitionByRange("store")
-        .withColumns({"rows": F.count("*").over(whole), "store_net": F.sum("net").over(whole)})
-        .withColumn("points", _points(F.col("store_net")))
-        .withColumns({"rank": F.row_number().over(ordered), "reached": F.sum("points").over(running)})
-        .filter((F.col("rank") > first) & (F.col("rank") <= last))
-        .orderBy("store", *_by_net())
-    )
-
-
-def _rank_blocks(customers: DataFrame, params: ParetoParams, blocks: int | None) -> DataFrame:
-    """The same for stores too large for one task, carried from block to block.
+def _rank(customers: DataFrame, params: ParetoParams, blocks: int | None) -> DataFrame:
+    """Rank and accumulate, carried from block to block.
 
     Blocks outside every slice are dropped before their rows are moved.
     """
-    ranked = ordered_blocks(customers, "store", _by_net(), blocks)
-    sizes = block_sums(ranked, "store", {"rows": F.count("*"), "net_sum": F.sum("net")})
-    valued = ranked.select("block", "store", "net").join(
-        sizes.select("block", "store", "net_sum_total"), ["block", "store"]
-    )
-    reached = block_sums(valued, "store", {"points": F.sum(_points(F.col("net_sum_total")))})
+    stores = customers.groupBy("store").agg(F.sum("net").alias("store_net"))
+    valued = customers.join(stores, "store").withColumn("points", _points(F.col("store_net"))).drop("store_net")
+    ranked = ordered_blocks(valued, "store", _by_net(), blocks)
+    sums = block_sums(ranked, "store", {"rows": F.count("*"), "points": F.sum("points")})
     first, last = _slice(F.col("rows_total"), params)
     touched = (
-        sizes.join(reached.select("block", "store", "points_before"), ["block", "store"])
-        .withColumns({"first": first, "last": last})
+        sums.withColumns({"first": first, "last": last})
         .filter("rows_before < last AND rows_before + rows > first")
-        .select("block", "store", "rows_before", "net_sum_total", "points_before", "first", "last")
+        .select("block", "store", "rows_before", "points_before", "first", "last")
     )
     inside = Window.partitionBy("block", "store").orderBy(*_by_net())
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         ranked.join(touched, ["block", "store"])
         .repartitionByRange("block")
-        .withColumn("points", _points(F.col("net_sum_total")))
         .withColumns(
             {
                 "rank": F.row_number().over(inside) + F.col("rows_before"),
@@ -90,19 +65,17 @@ def _rank_blocks(customers: DataFrame, params: ParetoParams, blocks: int | None)
 
 
 def pareto_customers(
-    sales: DataFrame,
-    params: ParetoParams = ParetoParams(),
-    task_rows: int = TASK_ROWS,
-    blocks: int | None = None,
+    sales: DataFrame, params: ParetoParams = ParetoParams(), blocks: int | None = None
 ) -> DataFrame:
     """Per store the top or bottom share of customers, with cumulative contribution.
 
     Customers are ranked by net, largest first, and ties by phone. Contribution
     is rounded to hundredths of a percent before it is accumulated over the full
-    ranking; as integers, these sums are exact in any order. When the largest
-    store has more than ``task_rows`` customers, no store is held in one task:
-    ranks and sums are carried over blocks of customers instead, with equal
-    results.
+    ranking; as integers, these sums are exact in any order. No store is held in
+    one task: ranks and sums are carried over blocks of customers, ``blocks`` of
+    them or as many as the session has shuffle partitions. Customers and blocks
+    are written down, for their bounds come from a sample; so calling this runs
+    jobs.
     """
     require(sales, "store", "phone", "gross", "net", "doc_no")
     if params.stores:
@@ -112,11 +85,7 @@ def pareto_customers(
         .groupBy("store", "phone")
         .agg(total("gross").alias("gross"), total("net").alias("net"), distinct("doc_no", "orders"))
     )
-    customers = stage(customers, "pareto")
-    if largest_group(customers, "store") <= task_rows:
-        ranked = _rank_stores(customers, params)
-    else:
-        ranked = _rank_blocks(customers, params, blocks)
+    ranked = _rank(stage(customers, "pareto"), params, blocks)
     gross, net = F.col("gross").cast("double"), F.col("net").cast("double")
     return ranked.select(
         "store",
