@@ -73,15 +73,27 @@ def region_period(
     """Regions in one period, each compared with its own previous period.
 
     The default is the latest period of all rows; rows without a region are
-    then left out. A region has one row per period in the window.
+    then left out. A narrow pass finds the period before the chosen one in each
+    region; sums and distinct counts see the rows of these two only. The periods
+    found are one row per region, whose measured size decides how they are joined.
     """
     require(sales, "region", "gross", "net", "doc_no", "phone")
     rows, chosen = choose_period(sales, period, year, key)
-    rows = by_period(rows.filter(F.col("region").isNotNull()), period, ["region"], sales_totals())
-    window = Window.partitionBy("region").orderBy("start")
-    compared = compare_with_previous(_with_discount(rows), COMPARED, window)
+    rows = rows.filter(F.col("region").isNotNull())
+    start = period_start(F.col("order_ts"), period).alias("start")
+    by_region = Window.partitionBy("region").orderBy("start")
+    starts = (
+        rows.select("region", start)
+        .distinct()
+        .withColumn("before", F.lag("start").over(by_region))
+        .filter(chosen)
+        .select("region", F.col("start").alias("this"), "before")
+    )
+    of_both = rows.join(starts, "region").filter(start.isin(F.col("this"), F.col("before")))
+    totals = by_period(of_both, period, ["region", "this"], sales_totals())
+    compared = compare_with_previous(_with_discount(totals), COMPARED, by_region)
     return (
-        compared.filter(chosen)
+        compared.filter(F.col("start") == F.col("this"))
         .orderBy(F.col("net").desc(), "region")
         .select(
             *period_columns(period),
