@@ -2,6 +2,8 @@ import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as entry_point
+from tillview.catalog.oracles import ORACLES
+from tillview.catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,13 +15,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = entry_point.queries()[name](spark, SF_DIR)
-    assert differences(con, entry_point.oracle_sql()[name], df) == []
+    assert differences(con, ORACLES[name], QUERIES[name](spark, SF_DIR)) == []
 
 
 def test_entry(spark):

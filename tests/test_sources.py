@@ -6,7 +6,7 @@ from rows import sales, values
 
 from tillview.schema import POSITION
 from tillview.sources.reader import choose_source, normalize, read_sales
-from tillview.sources.staging import stage, staging_root
+from tillview.sources.staging import drop_staged, shared_folder, stage
 
 
 def raw(spark, rows, schema):
@@ -109,8 +109,12 @@ def test_choose_source(spark):
 
 
 def test_stage_uses_the_shared_folder(spark):
+    before = spark.sparkContext.getCheckpointDir()
     df = stage(sales(spark, [("2024-01-05", 1)], "order_ts", "net"), "t")
     assert df.count() == 1
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    assert staging_root(spark) == (root or spark.sparkContext.getCheckpointDir())
-    assert staging_root(spark) in df.inputFiles()[0]
+    root = spark.conf.get("spark.checkpoint.dir", None) or before or spark.conf.get("spark.sql.warehouse.dir")
+    assert shared_folder(spark).startswith(root) and shared_folder(spark) in df.inputFiles()[0]
+    assert spark.sparkContext.getCheckpointDir() == before
+    drop_staged(spark)
+    with pytest.raises(Exception):
+        df.collect()
