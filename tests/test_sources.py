@@ -4,7 +4,9 @@ import logging
 import pytest
 from rows import sales, values
 
-from tillview.schema import POSITION
+from tillview.operators.filters import filtered_rows
+from tillview.schema import POSITION, Filters
+from tillview.sinks.export import write_report
 from tillview.sources.reader import choose_source, normalize, read_sales
 from tillview.sources.staging import drop_staged, shared_folder, stage
 
@@ -33,6 +35,23 @@ def test_bad_values(spark):
     ]
 
 
+def test_large_amounts_stay_and_larger_ones_are_an_error(spark):
+    rows = [("2024-01-05", "100000000000000"), ("2024-01-05", "1e15"), ("2024-01-05", "-123456789012345678901234.5")]
+    typed = normalize(raw(spark, rows, "`Ngày` string, `Tổng_Net` string"))
+    assert [str(v) for v in values(typed, "net")] == [
+        "100000000000000.0000",
+        "1000000000000000.0000",
+        "-123456789012345678901234.5000",
+    ]
+    assert typed.agg({"net": "sum"}).first()[0] == sum(values(typed, "net"))
+    for amount in ("1e24", "Infinity"):
+        beyond = normalize(raw(spark, [("2024-01-05", amount)], "`Ngày` string, `Tổng_Net` string"))
+        with pytest.raises(Exception, match="no amount of this size"):
+            beyond.collect()
+    wide = normalize(raw(spark, [("2024-01-05", 1e15)], "`Ngày` string, `Tổng_Net` double"))
+    assert [float(v) for v in values(wide, "net")] == [1e15]
+
+
 def test_double_money_has_no_nan(spark):
     df = raw(spark, [("2024-01-05", "NaN"), ("2024-01-05", "1.5")], "`Ngày` string, `Tổng_Net` string")
     typed = normalize(df, money="double")
@@ -95,6 +114,61 @@ def test_unreadable_input(spark, two_files, tmp_path, caplog):
         read_sales(spark, [str(broken)], skip_corrupt=True)
 
 
+def test_columns_are_merged_over_the_files_of_a_folder(spark, tmp_path, caplog):
+    folder = tmp_path / "folder"
+    raw(spark, [("2024-01-05", "A")], "`Ngày` string, `Brand` string").coalesce(1).write.parquet(str(folder / "a"))
+    raw(spark, [("2024-01-06", 5.0)], "`Ngày` string, `Tổng_Net` double").coalesce(1).write.parquet(str(folder / "b"))
+    raw(spark, [("2024-01-07", 7)], "`Ngày` string, `Brand` int").coalesce(1).write.parquet(str(folder / "c"))
+    raw(spark, [(1, 2)], "x int, y int").coalesce(1).write.parquet(str(folder / "d"))
+    (folder / "e.parquet").write_bytes(b"PAR1 broken PAR1")
+    with caplog.at_level(logging.WARNING):
+        rows = read_sales(spark, str(folder), skip_corrupt=True).orderBy("order_ts").collect()
+    assert [(r.order_ts.day, r.brand, r.net and float(r.net)) for r in rows] == [(5, "A", None), (6, None, 5.0), (7, "7", None)]
+    assert [(r[POSITION]["input"], r[POSITION]["file"], r[POSITION]["row"]) for r in rows] == [(0, 0, 0), (0, 1, 0), (0, 2, 0)]
+    assert caplog.text.count("cannot read") == 1 and "e.parquet" in caplog.text
+    with pytest.raises(Exception):
+        read_sales(spark, str(folder))
+
+
+def test_an_input_without_dates_adds_no_rows(spark, two_files, tmp_path, caplog):
+    bad = str(tmp_path / "undated")
+    raw(spark, [("A", "x")], "region string, store string").write.parquet(bad)
+    with caplog.at_level(logging.WARNING):
+        df = read_sales(spark, [bad, two_files[0]])
+        assert df.count() == 1
+        assert {r[POSITION]["input"] for r in df.collect()} <= {0, 1}
+    with pytest.raises(ValueError, match="date column"):
+        read_sales(spark, bad)
+
+
+def test_plans_grow_with_schemas_not_files(spark, tmp_path):
+    for i in range(12):
+        kind = "int" if i % 2 else "string"
+        raw(spark, [("2024-01-05", i if i % 2 else "x")], f"`Ngày` string, `Brand` {kind}").coalesce(1).write.parquet(
+            str(tmp_path / "many" / f"{i:02}")
+        )
+    df = read_sales(spark, str(tmp_path / "many"))
+    assert df.count() == 12
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2
+    assert [r[POSITION]["file"] for r in df.orderBy(f"{POSITION}.file").collect()] == list(range(12))
+
+
+def test_folders_may_name_columns(spark, two_files, tmp_path):
+    rows = raw(spark, [("2024-01-05", "A"), ("2024-01-06", "B B")], "`Ngày` string, Brand string")
+    rows.write.partitionBy("Brand").parquet(str(tmp_path / "parts"))
+    df = read_sales(spark, [two_files[0], str(tmp_path / "parts")])
+    got = sorted((r[POSITION]["input"], r.brand) for r in df.collect())
+    assert got == [(0, "A"), (1, "A"), (1, "B B")]
+
+
+def test_raw_rows_can_be_exported(spark, two_files, tmp_path):
+    rows = filtered_rows(read_sales(spark, two_files[0]), Filters(dimensions=()))
+    assert POSITION not in rows.columns
+    write_report(rows, str(tmp_path / "csv"), "csv")
+    write_report(read_sales(spark, two_files[0]), str(tmp_path / "more"), "csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 1
+
+
 def test_persist(spark, two_files):
     df = read_sales(spark, two_files[0], persist=True)
     assert df.storageLevel.useMemory and df.storageLevel.useDisk

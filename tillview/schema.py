@@ -31,7 +31,9 @@ SOURCE_NAMES = {
 
 MONEY_COLUMNS = ("gross", "net", "quantity")
 TEXT_COLUMNS = tuple(c for c in SOURCE_NAMES if c != "order_ts" and c not in MONEY_COLUMNS)
-MONEY_TYPE = "decimal(18,4)"
+# Sums need ten more digits, and 38 are all there are.
+MONEY_PRECISION, MONEY_SCALE = 28, 4
+MONEY_TYPE = f"decimal({MONEY_PRECISION},{MONEY_SCALE})"
 
 # Position of a row in its input, present on tables read from files.
 POSITION = "source_position"

@@ -10,17 +10,26 @@ from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
-from tillview.schema import MONEY_COLUMNS, MONEY_TYPE, POSITION, SOURCE_NAMES
+from tillview.schema import MONEY_COLUMNS, MONEY_PRECISION, MONEY_SCALE, MONEY_TYPE, POSITION, SOURCE_NAMES
+from tillview.sources.files import file_groups, list_files, read_group, reason
 
 log = logging.getLogger(__name__)
 
 
+def _exact(kind: DataType) -> bool:
+    """Decimals that hold no more than the type of amounts does."""
+    room = MONEY_PRECISION - MONEY_SCALE
+    return isinstance(kind, DecimalType) and kind.scale <= MONEY_SCALE and kind.precision - kind.scale <= room
+
+
 def _typed(df: DataFrame, source: str, canonical: str, money: str) -> Column:
     """The source column in its canonical type, bad values null.
 
-    A column that already has the type is passed through untouched, so filters
-    on it still reach the parquet reader.
+    A column that already has the type, or a narrower decimal, is passed through
+    untouched, so filters on it still reach the parquet reader. A number too large
+    for the type of amounts is an error, never a null.
     """
     col = F.col(f"`{source}`")
     have = df.schema[source].dataType.simpleString()
@@ -30,8 +39,16 @@ def _typed(df: DataFrame, source: str, canonical: str, money: str) -> Column:
         want = MONEY_TYPE if money == "decimal" else "double"
     else:
         want = "string"
+    if want == MONEY_TYPE and _exact(df.schema[source].dataType):
+        return col.alias(canonical)
     if have != want:
-        col = col.cast(want) if want == "string" else col.try_cast(want)
+        typed = col.cast(want) if want == "string" else col.try_cast(want)
+        if want == MONEY_TYPE:
+            number = col.try_cast("double")
+            lost = typed.isNull() & number.isNotNull() & ~F.isnan(number)
+            message = F.concat(F.lit(f"{source}: no amount of this size can be held: "), col.cast("string"))
+            typed = F.when(lost, F.raise_error(message)).otherwise(typed)
+        col = typed
     if want == "double":
         col = F.nanvl(col, F.lit(None).cast("double"))
     return col.alias(canonical)
@@ -60,14 +77,15 @@ def normalize(df: DataFrame, names: dict[str, str] = SOURCE_NAMES, money: str =
     return df.select(*typed, *kept).filter(F.col("order_ts").isNotNull())
 
 
-def _read_one(spark: SparkSession, path: str, ordinal: int, skip_corrupt: bool) -> DataFrame:
-    reader = spark.read.option("ignoreCorruptFiles", "true") if skip_corrupt else spark.read
-    position = F.struct(
-        F.lit(ordinal).alias("input"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
+def _with_position(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Adds the place of each row: number of the input, of the file in it, and of the row in that."""
+    numbered = rows.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    position = F.struct("input", "file", F.col("__row").alias("row"))
+    return (
+        numbered.join(F.broadcast(numbers), "__path", "left")
+        .withColumn(POSITION, position)
+        .drop("__path", "__row", "input", "file")
     )
-    return reader.parquet(path).withColumn(POSITION, position)
 
 
 def _stack(tables: Sequence[DataFrame]) -> DataFrame:
@@ -94,20 +112,45 @@ def read_sales(
 ) -> DataFrame:
     """Sales from one or many parquet inputs, stacked by column name.
 
-    ``skip_corrupt`` leaves out inputs that cannot be read, with a warning.
-    ``persist`` keeps the table on the executors for reuse by all reports.
+    Columns are merged by name over all files of all inputs; folders such as ``brand=A``
+    are columns too. ``skip_corrupt`` leaves out,
+    as a whole and with a warning each, files whose footer cannot be read and inputs that
+    do not exist; files that break later fail the query. Files without a date column add
+    no rows, with a warning. ``persist`` keeps the table on the executors for reuse by all
+    reports. The driver lists the files; their footers are read by a distributed job.
     """
     inputs = [paths] if isinstance(paths, str) else list(paths)
-    tables = []
+    places: dict[str, tuple[str, int, int]] = {}
+    plain: list[str] = []
+    foldered: dict[str, list[str]] = {}
     for ordinal, path in enumerate(inputs):
         try:
-            tables.append(normalize(_read_one(spark, path, ordinal, skip_corrupt), names, money))
+            listed = list_files(spark, path)
         except PySparkException as error:
             if not skip_corrupt:
                 raise
-            log.warning("cannot read %s: %s", path, error)
-    if not tables:
+            log.warning("cannot read %s: %s", path, reason(error))
+            continue
+        new = [(n, file, name) for n, (file, name) in enumerate(listed) if file not in places]
+        places |= {file: (name, ordinal, n) for n, file, name in new}
+        own = plain
+        if any("=" in file.rsplit("/", 2)[-2] for _, file, _ in new):
+            own = foldered.setdefault(path, [])
+        own += [file for _, file, _ in new]
+    numbers = spark.createDataFrame(list(places.values()), "__path string, input int, file int")
+    groups = file_groups(spark, plain, skip_corrupt)
+    for path, files in foldered.items():
+        groups += file_groups(spark, files, skip_corrupt, path)
+    if not groups:
         raise ValueError("none of the inputs could be read")
+    tables = []
+    for group in groups:
+        if {names["order_ts"], "order_ts"} & set(group.schema.names):
+            tables.append(normalize(_with_position(read_group(spark, group), numbers), names, money))
+        else:
+            log.warning("no date column, so no rows, in %s", ", ".join(group.files))
+    if not tables:
+        raise ValueError(f"no input has a date column: expected {names['order_ts']!r} or 'order_ts'")
     sales = _stack(tables)
     return sales.persist(StorageLevel.MEMORY_AND_DISK) if persist else sales
 
