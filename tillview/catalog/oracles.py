@@ -19,6 +19,22 @@ sales AS (
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 )"""
 
+#: The same lines with faults; the expressions see the values as they were.
+DIRTY = SALES.replace("sales AS (", "plain AS (", 1) + """,
+sales AS (SELECT * REPLACE (
+    CASE WHEN CAST(phone AS BIGINT) % 11 = 0 THEN NULL ELSE phone END AS phone,
+    CASE WHEN CAST(phone AS BIGINT) % 13 = 0 THEN NULL
+      WHEN CAST(doc_no AS BIGINT) % 17 = 0 THEN ' ' || store ELSE store END AS store,
+    CASE WHEN CAST(doc_no AS BIGINT) % 7 = 0 THEN NULL
+      WHEN CAST(doc_no AS BIGINT) % 19 = 0 THEN region || ' ' ELSE region END AS region,
+    CAST(CASE WHEN CAST(doc_no AS BIGINT) % 23 = 0 THEN 0
+      WHEN CAST(doc_no AS BIGINT) % 5 = 0 THEN -gross ELSE gross END AS DECIMAL(18,4)) AS gross,
+    CAST(CASE WHEN CAST(doc_no AS BIGINT) % 5 = 0 THEN -net ELSE net END AS DECIMAL(18,4)) AS net,
+    CASE WHEN CAST(doc_no AS BIGINT) % 3 = 0 THEN NULL
+      WHEN CAST(doc_no AS BIGINT) % 2 = 0 THEN customer_name || '*' ELSE customer_name END AS customer_name,
+    CASE WHEN CAST(product_code AS BIGINT) % 29 = 0 THEN NULL ELSE product_code END AS product_code)
+  FROM plain)"""
+
 EVENTS = """
 sales AS (
   SELECT ts AS order_ts, CAST(event_id AS VARCHAR) AS doc_no, CAST(user_id AS VARCHAR) AS phone,
@@ -263,6 +279,10 @@ def whole(value: str) -> str:
     return f"coalesce(format('{{:,.0f}}', CAST({value} AS DOUBLE)), '')"
 
 
+def signed(value: str) -> str:
+    return f"CASE WHEN {value} > 0 THEN '+' ELSE '' END || {percent(value)} AS {value}"
+
+
 def percent(value: str) -> str:
     return f"coalesce(format('{{:,.2f}}%', {value}), '')"
 
@@ -335,6 +355,12 @@ SELECT CAST(min(order_ts) AS DATE) AS start, CAST(max(order_ts) AS DATE) AS "end
   order_ts >= TIMESTAMP '2024-01-05' AND order_ts < TIMESTAMP '2024-01-21')""",
     "events_customers": f"""{customers(EVENTS, "phone, store", EVERY_TAG, vip=1500, inactive=3, where=clean("name_check"))}
 SELECT {AS_DOUBLE} FROM listed ORDER BY net DESC, phone, store""",
+    "read_stacked": """SELECT CAST(year(order_ts) AS INTEGER) AS year, count(*) AS lines,
+  CAST(sum(gross) AS DOUBLE) AS gross, count(DISTINCT phone) AS phones, count(DISTINCT o_custkey) AS customers
+FROM (SELECT ts AS order_ts, CAST(value AS DECIMAL(28,4)) AS gross, user_id AS phone,
+    CAST(NULL AS BIGINT) AS o_custkey FROM events
+  UNION ALL SELECT o_orderdate, CAST(o_totalprice AS DECIMAL(28,4)), NULL, o_custkey FROM orders)
+GROUP BY 1""",
     "read_lines": """SELECT l_returnflag AS doc_type,
   CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS gross,
   CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS quantity,
@@ -387,3 +413,31 @@ SELECT 'TỔNG', '', '', {whole("sum(gross)")}, {whole("sum(net)")}, {percent(ME
     "cohort_retention": cohorts(7),
     "cohort_retention_year": cohorts(12),
 }
+
+ORACLES |= {
+    "pareto_stores": pareto(20, top=True).replace(
+        "WHERE store IS NOT NULL AND", "WHERE store IN ('Supplier#000000001', 'Supplier#000000007') AND"
+    ),
+    "revenue_display": f"""SELECT period, year, key,
+  {", ".join(f"{whole(n)} AS {n}" for n in ALL_FOUR)}, {percent("discount_pct")} AS discount_pct,
+  {", ".join(f"{whole(f'prev_{n}')} AS prev_{n}, {signed(f'{n}_change_pct')}" for n in ALL_FOUR)}
+FROM ({revenue("quarter")})""",
+    "pareto_display": f"""SELECT store, phone,
+  {", ".join(f"{whole(n)} AS {n}" for n in ("gross", "net", "orders"))},
+  {", ".join(f"{percent(n)} AS {n}" for n in ("discount_pct", "contribution_pct", "cum_pct"))}
+FROM ({pareto(20, top=True)})""",
+}
+
+ORACLES |= {
+    f"{dirty}_dirty": ORACLES[name].replace(SALES, DIRTY)
+    for dirty, name in (
+        ("filter_all", "filter_all"),
+        ("new_vs_returning", "new_vs_returning"),
+        ("customers", "customers_by_store"),
+        ("pareto", "pareto_top"),
+        ("cohort", "cohort_retention"),
+    )
+}
+ORACLES["product_summary_dirty"] = products("CAST(sum(quantity) AS DOUBLE)").replace(
+    SALES, DIRTY
+)

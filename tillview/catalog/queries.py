@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.catalog.tables import event_sales, sales_table
+from tillview.catalog.tables import dirty_sales, event_sales, sales_table
 from tillview.functions.display import display, number_text
 from tillview.functions.timekeys import add_time_key
 from tillview.operators.filters import (
@@ -30,10 +30,11 @@ from tillview.plans.customers import (
     new_vs_returning,
 )
 from tillview.plans.overview import kpis, product_summary, region_time, store_summary, time_trend
-from tillview.plans.pareto import pareto_customers
+from tillview.plans.pareto import pareto_customers, pareto_display
 from tillview.plans.revenue import (
     periods,
     region_period,
+    revenue_display,
     revenue_series,
     revenue_summary,
     top_bottom_stores,
@@ -65,6 +66,25 @@ def on_events(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(event_sales(spark, sf_dir))
 
 
+def on_dirty(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: report(dirty_sales(spark, sf_dir))
+
+
+def read_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and events read as one table: both dated under one name, other columns their own."""
+    names = {"order_ts": "ts", "doc_no": "event_id", "gross": "value", "phone": "user_id"}
+    events, orders = f"{sf_dir}/events.parquet", f"{sf_dir}/orders.parquet"
+    both = read_sales(spark, [orders, events], names)
+    dated = read_sales(spark, [events, orders], names | {"order_ts": "o_orderdate", "gross": "o_totalprice"})
+    stacked = both.unionByName(dated, allowMissingColumns=True)
+    return stacked.groupBy(F.year("order_ts").alias("year")).agg(
+        F.count("*").alias("lines"),
+        F.sum("gross").cast("double").alias("gross"),
+        F.count_distinct("phone").alias("phones"),
+        F.count_distinct("o_custkey").alias("customers"),
+    )
+
+
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line table read as sales dated by shipping, totalled per document type."""
     names = {
@@ -213,6 +233,7 @@ QUERIES: dict[str, Query] = {
         lambda s: customer_list(s, CustomerParams(inactive_days=3, vip_net=1500, show_inactive=True, show_vip=True))
     ),
     "read_lines": read_lines,
+    "read_stacked": read_stacked,
     "coerced": on_sales(coerced, TOTALS + " doc_type quantity"),
     "first_purchase": on_sales(first_purchase, "order_ts phone"),
     "first_purchase_rows": on_sales(first_purchase_rows, "order_ts phone doc_no"),
@@ -276,4 +297,18 @@ QUERIES: dict[str, Query] = {
     "cohort_retention_year": on_sales(
         lambda s: cohort_retention(s, CohortParams(months=12)), "order_ts phone"
     ),
+    "pareto_stores": on_sales(
+        lambda s: pareto_customers(s, ParetoParams(stores=("Supplier#000000001", "Supplier#000000007"))),
+        "gross net doc_no phone store",
+    ),
+    "filter_all_dirty": on_dirty(lambda s: apply_filters(s, Filters(dimensions=REVENUE_DIMENSIONS))),
+    "new_vs_returning_dirty": on_dirty(
+        lambda s: new_vs_returning(s, Filters(start=date(1995, 7, 1), end=date(1996, 6, 30)))
+    ),
+    "customers_dirty": on_dirty(lambda s: customer_list(s, CustomerParams(vip_net=VIP))),
+    "pareto_dirty": on_dirty(pareto_customers),
+    "cohort_dirty": on_dirty(cohort_retention),
+    "product_summary_dirty": on_dirty(product_summary),
+    "revenue_display": on_sales(lambda s: revenue_display(revenue_summary(s, Period("quarter"))), TOTALS),
+    "pareto_display": on_sales(lambda s: pareto_display(pareto_customers(s)), "gross net doc_no phone store"),
 }

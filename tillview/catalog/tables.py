@@ -81,3 +81,25 @@ def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(18,4)").alias("net"),
         F.col("event_type").alias("store"),
     )
+
+
+#: Faults by remainders of keys: missing and padded values, gross of 0 and below, names that change.
+DIRTY = {
+    "phone": "if(cast(phone as bigint) % 11 = 0, null, phone)",
+    "store": "case when cast(phone as bigint) % 13 = 0 then null "
+    "when cast(doc_no as bigint) % 17 = 0 then concat(' ', store) else store end",
+    "region": "case when cast(doc_no as bigint) % 7 = 0 then null "
+    "when cast(doc_no as bigint) % 19 = 0 then concat(region, ' ') else region end",
+    "gross": "cast(case when cast(doc_no as bigint) % 23 = 0 then 0 "
+    "when cast(doc_no as bigint) % 5 = 0 then -gross else gross end as decimal(18,4))",
+    "net": "cast(case when cast(doc_no as bigint) % 5 = 0 then -net else net end as decimal(18,4))",
+    "customer_name": "case when cast(doc_no as bigint) % 3 = 0 then null "
+    "when cast(doc_no as bigint) % 2 = 0 then concat(customer_name, '*') else customer_name end",
+    "product_code": "if(cast(product_code as bigint) % 29 = 0, null, product_code)",
+}
+
+
+def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines with the faults that real tables have."""
+    sales = sales_table(spark, sf_dir)
+    return sales.select(*(F.expr(DIRTY.get(c, c)).alias(c) for c in sales.columns))

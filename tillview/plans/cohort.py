@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillview.functions.display import display
 from tillview.functions.metrics import hundredths, round_exact
 from tillview.schema import GRAND_TOTAL_LABEL, CohortParams, require
 
@@ -58,3 +59,9 @@ def cohort_retention(sales: DataFrame, params: CohortParams = CohortParams()) ->
     )
     kind = F.when(F.col("first_month") == GRAND_TOTAL_LABEL, F.lit("total")).otherwise(F.lit("cohort"))
     return result.withColumn("row_kind", kind).orderBy("row_kind", "first_month")
+
+
+def cohort_display(table: DataFrame) -> DataFrame:
+    """Text form of the retention table."""
+    shares = [c for c in table.columns if c.startswith("after_")]
+    return display(table, integers=["customers"], percents=shares)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillview.functions.display import display
 from tillview.functions.metrics import (
     discount_unguarded,
     distinct,
@@ -97,3 +98,10 @@ def pareto_customers(
         (F.col("points") / 100).alias("contribution_pct"),
         (F.col("reached") / 100).alias("cum_pct"),
     )
+
+
+def pareto_display(table: DataFrame) -> DataFrame:
+    """Text form of the Pareto table."""
+    return display(
+        table, integers=["gross", "net", "orders"], percents=["discount_pct", "contribution_pct", "cum_pct"]
+    )

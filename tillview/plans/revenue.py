@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillview.functions.display import display
 from tillview.functions.metrics import discount_any_sign, money, sales_totals
 from tillview.functions.timekeys import period_start
 from tillview.operators.periods import (
@@ -141,3 +142,14 @@ def top_bottom_stores(
             F.col("net_change_pct").alias("change_pct"),
         )
     )
+
+
+def revenue_display(table: DataFrame) -> DataFrame:
+    """Text form of the revenue, region and store tables: whole numbers, percents, signed changes."""
+    changes = [c for c in table.columns if c.endswith("change_pct")]
+    return display(
+        table,
+        integers=["gross", "net", "customers", "orders", "prev", *(f"prev_{n}" for n in COMPARED)],
+        percents=["discount_pct"],
+        signed_percents=changes,
+    )
