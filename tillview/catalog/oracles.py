@@ -441,3 +441,13 @@ ORACLES |= {
 ORACLES["product_summary_dirty"] = products("CAST(sum(quantity) AS DOUBLE)").replace(
     SALES, DIRTY
 )
+
+LINES_BY_TYPE = """SELECT l_returnflag AS doc_type,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(28,4))) AS DOUBLE) AS gross, count(DISTINCT l_orderkey) AS orders
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY l_returnflag"""
+
+ORACLES |= {
+    "read_skipping": LINES_BY_TYPE,
+    "source_kept": LINES_BY_TYPE,
+    "export_csv": ORACLES["store_summary"],
+}

@@ -48,7 +48,9 @@ from tillview.schema import (
     Period,
     ProductParams,
 )
-from tillview.sources.reader import normalize, read_sales
+from tillview.sinks.export import write_report
+from tillview.sources.reader import choose_source, normalize, read_sales
+from tillview.sources.staging import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +107,38 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lines_by_type(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("doc_type").agg(
+        F.sum("gross").cast("double").alias("gross"), F.count_distinct("doc_no").alias("orders")
+    )
+
+
+LINE_NAMES = {"order_ts": "l_shipdate", "doc_no": "l_orderkey", "gross": "l_extendedprice", "doc_type": "l_returnflag"}
+
+
+def read_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line table, with an input that does not exist left out."""
+    paths = [f"{sf_dir}/no such table.parquet", f"{sf_dir}/lineitem.parquet"]
+    return _lines_by_type(read_sales(spark, paths, LINE_NAMES, skip_corrupt=True))
+
+
+def source_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new source without valid rows does not replace the line table."""
+    lines = read_sales(spark, f"{sf_dir}/lineitem.parquet", LINE_NAMES)
+    undated = normalize(
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet"), LINE_NAMES | {"order_ts": "l_returnflag", "doc_type": "l_linestatus"}
+    )
+    return _lines_by_type(choose_source(undated, lines))
+
+
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store table written as CSV and read back."""
+    path = new_folder(spark, "export")
+    write_report(store_summary(sales_table(spark, sf_dir, TOTALS + " store")), path, "csv")
+    kinds = "store string, gross double, net double, orders bigint, customers bigint, discount_pct double"
+    return spark.read.option("header", "true").schema(kinds).csv(path)
+
+
 def coerced(sales: DataFrame) -> DataFrame:
     """Text columns under the input's names, some of them bad, brought to types."""
     raw = sales.select(
@@ -234,6 +268,9 @@ QUERIES: dict[str, Query] = {
     ),
     "read_lines": read_lines,
     "read_stacked": read_stacked,
+    "read_skipping": read_skipping,
+    "source_kept": source_kept,
+    "export_csv": export_csv,
     "coerced": on_sales(coerced, TOTALS + " doc_type quantity"),
     "first_purchase": on_sales(first_purchase, "order_ts phone"),
     "first_purchase_rows": on_sales(first_purchase_rows, "order_ts phone doc_no"),
