@@ -78,6 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
-
-#: Only what plain SQL can express has an entry here.
-ORACLES: dict[str, str] = {}
