@@ -7,10 +7,10 @@ WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z_\x{80}-\x{10
 
 REPEATS = """
 WITH docs AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
-windows AS (
-  SELECT doc_id, unnest(range(1, octet_length(raw) - 98)) AS pos, raw FROM docs WHERE octet_length(raw) >= 100),
-ordered AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY array_slice(raw, pos, pos + 99) ORDER BY doc_id, pos) AS n FROM windows),
+windows AS MATERIALIZED (
+  SELECT doc_id, pos, md5_number(hex(array_slice(raw, pos, pos + 99))) AS digest
+  FROM (SELECT doc_id, unnest(range(1, octet_length(raw) - 98)) AS pos, raw FROM docs WHERE octet_length(raw) >= 100)),
+ordered AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY digest ORDER BY doc_id, pos) AS n FROM windows),
 repeated AS (
   SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ordered WHERE n > 1),
 marked AS (
