@@ -11,20 +11,27 @@ _folders: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
+    """This application's folder below ``spark.checkpoint.dir``, as a full URI.
 
     Where that is unset, as in tests, it lies below the warehouse, which all executors share too.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
-    folder = f"{root.rstrip('/')}/{context.applicationId}"
+    folder = f"{_qualified(spark, root)}/{context.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_drop_at_exit, folder)
     return folder
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which all processes then agree on."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(place).toString().rstrip("/")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
