@@ -46,7 +46,9 @@ WARC_DATE = "2000-01-01T00:00:00Z"
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def base32_sha1(payload: bytes) -> str:
