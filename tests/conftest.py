@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from tillview.sources.session import local_session  # noqa: E402
+from tillview.sources.staging import drop_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +14,5 @@ def spark():
     session = local_session(8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
