@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from tillview.llm.arrays import INVERSE, _power, flat, mix, prefix_hash, range_hash, slices
+from tillview.llm.arrays import INVERSE, _power, flat, mix, prefix_hash, range_hash, runs, slices
 from tillview.llm.bits import BitTable, bit_table
 from tillview.operators.lookup import look_up
 from tillview.sources.staging import stage
@@ -46,6 +46,7 @@ from tillview.sources.staging import stage
 LENGTH = 100
 GRAM = 24
 BUNDLE = 4096
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,7 @@ def number(documents: DataFrame, key: str, text: str) -> Numbered:
 
 def _each(column: pa.Array, docs: np.ndarray, bits: int, length: int):
     """Slices with their anchors and the positions of these."""
-    for row, data, at in slices(column):
+    for row, data, at in slices(column, SLICE):
         found = anchors(data, at, length)
         if len(found.place):
             owner = np.searchsorted(at, found.place, side="right") - 1
@@ -155,7 +156,7 @@ def count_grams(numbered: Numbered, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, at in slices(batch.column(0)):
+            for _, data, at in slices(batch.column(0), SLICE):
                 yield pa.RecordBatch.from_arrays([_signed(anchors(data, at, length).gram)], ["gram"])
 
     return numbered.rows.select("text").mapInArrow(run, "gram long").groupBy("gram").count()
@@ -231,30 +232,44 @@ def contexts(numbered: Numbered, names: BitTable, length: int) -> DataFrame:
 # Suffix order
 
 
+def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes of different words are equal."""
+    differ = a ^ b
+    return sum(((differ >> np.uint64(8 * k)) == 0).astype(np.int64) for k in range(8))
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by their first ``length`` bytes, then position, and the LCP of neighbours.
 
-    ``lcp[i]`` is that of the suffixes at ``order[i - 1]`` and ``order[i]``, ``lcp[0]`` is 0.
+    ``lcp[i]`` is that of the suffixes at ``order[i - 1]`` and ``order[i]``, ``lcp[0]`` is 0. Eight
+    bytes are compared at a time, and only suffixes that were equal so far are compared further.
     """
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = []
+    n = len(starts)
+    order, lcp = np.arange(n), np.zeros(n, dtype=np.int64)
+    places, group = np.arange(n), np.zeros(n, dtype=np.int64)  # of the suffixes still to be told apart
     for k in range(0, length, 8):
-        word = np.ascontiguousarray(eight[np.minimum(starts + k, len(data))]).view(">u8").ravel().astype(np.uint64)
+        some = order[places]
+        word = eight[np.minimum(starts[some] + k, len(data))].view(">u8").ravel().astype(np.uint64)
         if length - k < 8:
-            word = word >> np.uint64(8 * (8 - length + k)) << np.uint64(8 * (8 - length + k))
-        words.append(word)
-    order = np.lexsort((position, *reversed(words)))
-    lcp = np.zeros(len(starts), dtype=np.int64)
-    equal = np.ones(max(0, len(starts) - 1), dtype=bool)
-    for word in words:
-        own = word[order]
-        differ = own[1:] ^ own[:-1]
-        same_bytes = np.full(len(differ), 8)
-        top = differ != 0
-        same_bytes[top] = 7 - np.floor(np.log2(differ[top].astype(np.longdouble))).astype(np.int64) // 8
-        lcp[1:] += np.where(equal, same_bytes, 0)
-        equal &= ~top
+            rest = np.uint64(8 * (8 - length + k))
+            word = word >> rest << rest
+        sub = np.lexsort((word, group))
+        word, some = word[sub], some[sub]
+        order[places] = some
+        same = group[1:] == group[:-1]
+        apart = np.flatnonzero(same & (word[1:] != word[:-1])) + 1
+        lcp[places[apart]] = k + _equal_bytes(word[apart], word[apart - 1])
+        same[apart - 1] = False  # neighbours that are equal so far
+        tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        group = np.cumsum(np.concatenate([[True], ~same]))[tied]
+        places = places[tied]
+        if not len(places):
+            return order, lcp
+    sub = np.lexsort((position[order[places]], group))
+    order[places] = order[places][sub]
+    lcp[places[1:][group[1:] == group[:-1]]] = length
     return order, np.minimum(lcp, length)
 
 
@@ -323,7 +338,7 @@ def window_hashes(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, at in slices(batch.column(1), 1 << 18):
+            for row, data, at in slices(batch.column(1), SLICE):
                 windows = np.diff(at) - length + 1
                 offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                 first = np.repeat(at[:-1], windows) + offset
@@ -409,7 +424,8 @@ def cut_repeats(
             F.struct(F.col("start").bitwiseAND(F.lit(mask)).alias("at"), "size").alias("piece"),
         )
         .groupBy("doc")
-        .agg(F.collect_set("piece").alias("pieces")),
+        .agg(F.collect_set("piece").alias("pieces"))
+        .select("doc", F.col("pieces.at").alias("begins"), F.col("pieces.size").alias("sizes")),
         "repeats-pieces",
     )
     concerned = numbered.rows.sparkSession.sparkContext.broadcast(bit_table(by_doc.select(F.xxhash64("doc").alias("h")), "h"))
@@ -433,34 +449,36 @@ def cut_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = flat(batch.column(1))
-            pieces = batch.column(3).to_pylist()
-            columns: list[list] = [[] for _ in names[1:]]
-            for i in range(len(batch)):
-                own = data[at[i] : at[i + 1]]
-                row = _cut(own, pieces[i] or [])
-                for column, value in zip(columns, row, strict=False):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
-            once = pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
-            copies = batch.column(2).to_numpy()
-            yield once if (copies == 1).all() else once.take(pa.array(np.repeat(np.arange(len(batch)), copies)))
-
-    near = rows.where("near").join(by_doc, "doc", "left").select("id", "text", "copies", "pieces")
-    none = F.lit(None).cast(by_doc.schema["pieces"].dataType)
-    far = rows.where("not near").select("id", "text", "copies", none.alias("pieces"))
+            for row, data, at in slices(batch.column(1), 1 << 20):
+                some = batch.slice(row, len(at) - 1)
+                results = _cut(data, at, some.column(3), some.column(4))
+                once = pa.RecordBatch.from_arrays([some.column(0), *results[: len(names) - 1]], names)
+                copies = some.column(2).to_numpy()
+                several = np.repeat(np.arange(len(copies)), copies)
+                yield once if len(several) == len(copies) else once.take(pa.array(several))
+
+    near = rows.where("near").join(by_doc, "doc", "left").select("id", "text", "copies", "begins", "sizes")
+    none = F.lit(None).cast("array<bigint>")
+    far = rows.where("not near").select("id", "text", "copies", none.alias("begins"), none.alias("sizes"))
     return near.mapInArrow(cut, schema).unionByName(far.mapInArrow(cut, schema))
 
 
-def _cut(own: np.ndarray, pieces: list[dict]) -> tuple[int, int, int, str, bytes]:
-    if not pieces:
-        raw = own.tobytes()
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
-    edge = np.zeros(len(own) + 1, dtype=np.int64)
-    np.add.at(edge, [p["at"] for p in pieces], 1)
-    np.add.at(edge, [p["at"] + p["size"] for p in pieces], -1)
+def _cut(data: np.ndarray, at: np.ndarray, begins: pa.ListArray, sizes: pa.ListArray) -> list[pa.Array]:
+    """Lengths, removed bytes, removed runs, digest and rest of texts less their pieces."""
+    counts = begins.value_lengths().fill_null(0).to_numpy()
+    begin = begins.flatten().to_numpy() + np.repeat(at[:-1], counts)
+    end = begin + sizes.flatten().to_numpy()
+    edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
     gone = np.cumsum(edge[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    raw = own[~gone].tobytes()
-    return len(own), int(gone.sum()), spans, hashlib.sha256(raw).hexdigest(), raw
+    removed = np.concatenate([[0], np.cumsum(gone)])
+    _, _, rows = runs(gone, at)
+    bounds = at - removed[at]
+    rest = data[~gone].tobytes()
+    own = [rest[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return [
+        pa.array(np.diff(at)),
+        pa.array(np.diff(removed[at])),
+        pa.array(np.bincount(rows, minlength=len(at) - 1)),
+        pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()),
+        pa.array(own, pa.binary()),
+    ]
