@@ -21,7 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         )
     else:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    least = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("least"), F.count("*").alias("count"))
+    nearest = both.groupBy("node").agg(F.min("other").alias("other"), F.count("*").alias("count"))
+    least = nearest.select("node", F.least("node", "other").alias("least"), "count")
     least = stage(least, "components-least")
     rows = both.where("other > node") if large else both
     joined = look_up(rows, least.select("node", "least"), "node", "inner", least.select("node", "count"))

@@ -41,7 +41,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 TREES, DEEPEST, TARGET = 40, 8, 0.99999
 BLOCK = 1024
-PATTERN_ROWS = 4096
+PATTERN_ROWS = 2048
+#: Texts are handled by slices of so many bytes, so that arrays of shingles stay small.
+SLICE = 1 << 18
 
 
 def prefix_depth(similarity: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
@@ -118,7 +120,7 @@ def sketch(documents: DataFrame, key: str, text: str, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, at in slices(pc.utf8_lower(batch.column(2))):
+            for row, data, at in slices(pc.utf8_lower(batch.column(2)), SLICE):
                 n = len(at) - 1
                 shingles, bounds = shingle_sets(data, at)
                 empty = np.diff(bounds) == 0
@@ -147,7 +149,7 @@ def sets_of(documents: DataFrame, own: DataFrame, key: str, text: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, at in slices(pc.utf8_lower(batch.column(1))):
+            for row, data, at in slices(pc.utf8_lower(batch.column(1)), SLICE):
                 shingles, bounds = shingle_sets(data, at)
                 named = _own(set_keys(shingles, bounds), batch.column(0).slice(row, len(at) - 1))
                 some = shared.value.may_hold(named)
@@ -179,12 +181,13 @@ def overlaps(shingles: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
         marks = mix(np.arange(1, n + 1, dtype=np.uint64))
         pattern = np.add.reduceat(marks[member], starts)
         _, one, weight = np.unique(pattern, return_index=True, return_counts=True)
+        kind = np.float32 if weight.sum() < 1 << 24 else np.float64  # counts stay exact
         for begin in range(0, len(one), PATTERN_ROWS):
             some = one[begin : begin + PATTERN_ROWS]
-            held = np.zeros((len(some), n), dtype=np.float32)
+            held = np.zeros((len(some), n), dtype=kind)
             taken = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(counts[some])[:-1]]), counts[some])
             held[np.repeat(np.arange(len(some)), counts[some]), member[taken + np.arange(len(taken))]] = 1
-            out += held.T @ (held * weight[begin : begin + PATTERN_ROWS, None].astype(np.float32))
+            out += held.T @ (held * weight[begin : begin + PATTERN_ROWS, None].astype(kind))
     np.fill_diagonal(out, sizes)
     return out
 
