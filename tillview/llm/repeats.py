@@ -437,30 +437,41 @@ def cut_repeats(
     if keep_bytes:
         schema = schema.add("kept", "binary")
 
-    def concern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def results(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Results of id, text, copies, begins and sizes."""
+        for row, data, at in slices(some.column(1)):
+            part = some.slice(row, len(at) - 1)
+            found = _cut(data, at, part.column(3), part.column(4))
+            once = pa.RecordBatch.from_arrays([part.column(0), *found[: len(names) - 1]], names)
+            copies = part.column(2).to_numpy()
+            several = np.repeat(np.arange(len(copies)), copies)
+            yield once if len(several) == len(copies) else once.take(pa.array(several))
+
+    def is_near(batch: pa.RecordBatch) -> np.ndarray:
+        near = np.zeros(len(batch), dtype=bool)
+        near[concerned.value.may_hold(batch.column(0).to_numpy().view(np.uint64))] = True
+        return near
+
+    def only_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.zeros(len(batch), dtype=bool)
-            near[concerned.value.may_hold(batch.column(0).to_numpy().view(np.uint64))] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(near)], ["doc", "id", "text", "copies", "near"])
+            near = batch.filter(pa.array(is_near(batch)))
+            yield pa.RecordBatch.from_arrays(near.columns[1:], ["doc", "id", "text", "copies"])
 
-    rows = numbered.rows.select(F.xxhash64("doc"), "doc", "id", "text", "copies")
-    id_type = documents.schema[key].dataType.simpleString()
-    rows = rows.mapInArrow(concern, f"doc long, id {id_type}, text string, copies long, near boolean")
+    def cut_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = batch.filter(pa.array(~is_near(batch)))
+            none = pa.nulls(len(far), pa.list_(pa.int64()))
+            yield from results(pa.RecordBatch.from_arrays([*far.columns[2:], none, none], far.schema.names[2:] + ["b", "s"]))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, at in slices(batch.column(1), 1 << 20):
-                some = batch.slice(row, len(at) - 1)
-                results = _cut(data, at, some.column(3), some.column(4))
-                once = pa.RecordBatch.from_arrays([some.column(0), *results[: len(names) - 1]], names)
-                copies = some.column(2).to_numpy()
-                several = np.repeat(np.arange(len(copies)), copies)
-                yield once if len(several) == len(copies) else once.take(pa.array(several))
-
-    near = rows.where("near").join(by_doc, "doc", "left").select("id", "text", "copies", "begins", "sizes")
-    none = F.lit(None).cast("array<bigint>")
-    far = rows.where("not near").select("id", "text", "copies", none.alias("begins"), none.alias("sizes"))
-    return near.mapInArrow(cut, schema).unionByName(far.mapInArrow(cut, schema))
+            yield from results(batch)
+
+    rows = numbered.rows.select(F.xxhash64("doc"), "doc", "id", "text", "copies")
+    id_type = documents.schema[key].dataType.simpleString()
+    near = rows.mapInArrow(only_near, f"doc long, id {id_type}, text string, copies long").join(by_doc, "doc", "left")
+    near = near.select("id", "text", "copies", "begins", "sizes").mapInArrow(cut_near, schema)
+    return near.unionByName(rows.mapInArrow(cut_far, schema))
 
 
 def _cut(data: np.ndarray, at: np.ndarray, begins: pa.ListArray, sizes: pa.ListArray) -> list[pa.Array]:
