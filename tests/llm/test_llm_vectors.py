@@ -87,3 +87,35 @@ def test_pigeonhole_finds_every_code_within_the_radius():
 def test_learning_from_few_vectors(n):
     codes = hamming.learn(np.random.default_rng(2).normal(size=(n, 5)), 3.0, 20)
     assert codes.substrings(np.ones((1, 5))).shape == (1, 1)
+
+
+def skewed(n, groups, outliers, seed=3):
+    """Most rows in tight groups of near copies, some on their own."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, 64))
+    x = centres[rng.integers(0, groups, n)] + 0.02 * rng.normal(size=(n, 64))
+    x[:outliers] = rng.normal(size=(outliers, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+def test_queries_far_from_tight_groups_find_all_they_ask_for(spark):
+    rows = skewed(6000, 110, 90)
+    df = vectors(spark, rows)
+    queries = rows[:60] + rows[1000:1020]
+    want = brute(rows, queries, 20)
+    got = {}
+    for r in hamming.search(df, df.where("vec_id < 60 or vec_id between 1000 and 1019"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {q: len(own) for q, own in got.items()} == {q: 20 for q in want}
+    hits = {q: len(got[q] & {i for i, _ in want[q]}) / 20 for q in want}
+    assert np.mean([hits[q] for q in range(60)]) >= 0.9
+    assert np.mean([hits[q] for q in range(1000, 1020)]) >= 0.9
+
+
+@pytest.mark.parametrize("n", [2, 10, 15, 20, 25])
+def test_small_tables_lose_no_rows(spark, n):
+    rng = np.random.default_rng(n)
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 32)))])
+    counts = hamming.search(df, df, 20).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in counts} == {i: min(20, n - 1) for i in range(n)}

@@ -6,9 +6,12 @@ hash of their id. Inner products of vectors of any length become angles by one m
 which fills every vector up to the largest length. Codes split into substrings, and every block
 of candidates has an index of each substring. A code within radius r of a query has a substring
 within r / substrings of the query's (pigeonhole), so those buckets are probed, codes farther
-than r are left, and the rest is ranked by exact inner products in double precision. The radius
-is learned too: for held-out vectors of the sample, the least that reaches ``RECALL`` of their
-true neighbours among the sample.
+than r are left, and the rest is ranked by exact inner products in double precision. The first
+radius is learned too: for vectors of the sample, the least that reaches ``RECALL`` of their true
+neighbours among the sample. A query is probed again with a larger radius, up to all bits, until
+its radius exceeds the distance of its own k-th nearest code by ``slack``. That is what true
+neighbours lie beyond it in the sample, learned apart for dense and for sparse places, so that
+tight groups do not set the reach of queries far from everything.
 
 Equal vectors are one candidate with their smallest ids, as many as can be asked for, so a
 vector that a third of all rows share costs one candidate. Queries meet all candidates in blocks
@@ -41,18 +44,22 @@ MOST_BITS = 128
 BLOCK_ROWS = 8192
 QUERY_BLOCK_ROWS = 2048
 PROBE_ROWS = 128
+STRATA = 8
+STRATUM_QUERIES = 64
+GROWTH = 4
 
 ONES = np.array([bin(i).count("1") for i in range(1 << SUBSTRING_BITS)], dtype=np.uint8)
 
 
 @dataclass(frozen=True)
 class Codes:
-    """The learned map from vectors to substrings of their codes, and the radius."""
+    """The learned map from vectors to substrings of their codes, the first radius and the slack."""
 
     centre: np.ndarray
     axes: np.ndarray
     longest: float
     radius: int
+    slack: int = 0
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         return self._pack(_fill(x, self.longest))
@@ -95,13 +102,34 @@ def learn(sample: np.ndarray, longest: float, k: int, rounds: int = 30, seed: in
         u, _, v = np.linalg.svd(np.sign(z @ rotation).T @ z)
         rotation = (u @ v).T
     codes = Codes(centre, axes @ rotation, longest, bits)
-    queries = sample[:SAMPLE_QUERIES]
-    scores = queries @ sample.T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    top = np.argsort(-scores, axis=1)[:, : min(k, max(1, len(sample) - 1))]
-    far = distances(codes.query_substrings(queries), codes.substrings(sample))
-    radius = int(np.ceil(np.quantile(np.take_along_axis(far, top, axis=1), RECALL)))
-    return Codes(centre, axes @ rotation, longest, radius)
+    own, asked = codes.substrings(sample), codes.query_substrings(sample)
+    k = min(k, max(1, len(sample) - 1))
+    reach = np.concatenate(
+        [
+            np.partition(distances(asked[i : i + PROBE_ROWS], own), k - 1, axis=1)[:, k - 1]
+            for i in range(0, len(sample), PROBE_ROWS)
+        ]
+    ).astype(int)
+
+    def beyond(places: np.ndarray) -> np.ndarray:
+        """Distances of the true neighbours of some vectors of the sample."""
+        scores = sample[places] @ sample.T
+        scores[np.arange(len(places)), places] = -np.inf
+        top = np.argsort(-scores, axis=1)[:, :k]
+        return np.take_along_axis(distances(asked[places], own), top, axis=1).astype(int)
+
+    radius = int(np.ceil(np.quantile(beyond(np.arange(len(sample))[:SAMPLE_QUERIES]), RECALL)))
+    slack = 0
+    for some in _strata(reach):
+        slack = max(slack, int(np.ceil(np.quantile(beyond(some) - reach[some, None], RECALL))))
+    return Codes(centre, axes @ rotation, longest, radius, slack)
+
+
+def _strata(reach: np.ndarray) -> list[np.ndarray]:
+    """Places from the densest to the sparsest eighth of the sample, and the sparsest of all."""
+    order = np.argsort(reach, kind="stable")
+    eighths = [part for part in np.array_split(order, STRATA) if len(part)]
+    return [part[:: -(-len(part) // STRATUM_QUERIES)] for part in eighths] + [order[-STRATUM_QUERIES:]]
 
 
 class BlockIndex:
@@ -128,6 +156,23 @@ class BlockIndex:
         return probed & (total <= radius)
 
 
+def _reached(index: BlockIndex, queries: np.ndarray, codes: Codes, k: int) -> np.ndarray:
+    """Which codes of a block to rank for each query.
+
+    The radius grows until it holds k codes and covers the k-th by the slack, or all bits.
+    """
+    bits = SUBSTRING_BITS * index.codes.shape[1]
+    near = index.within(queries, codes.radius)
+    radius, wanting = codes.radius, np.arange(len(queries))
+    while radius < bits and len(wanting):
+        inner = index.within(queries[wanting], radius - codes.slack) if radius >= codes.slack else near[wanting] & False
+        wanting = wanting[inner.sum(axis=1) < k]
+        radius = min(bits, radius + GROWTH)
+        if len(wanting):
+            near[wanting] = index.within(queries[wanting], radius)
+    return near
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, by score, then by smaller id."""
     if len(scores) > 4 * k:
@@ -239,10 +284,10 @@ def _search_block(
     index, asked = BlockIndex(codes.substrings(x)), codes.query_substrings(q)
     for start in range(0, len(q), PROBE_ROWS):
         some = slice(start, start + PROBE_ROWS)
-        near, scores = index.within(asked[some], codes.radius), q[some] @ x.T
+        # one more than k, as the query itself may be among them
+        near, scores = _reached(index, asked[some], codes, k + 1), q[some] @ x.T
         for i in range(len(near)):
             place = np.flatnonzero(near[i])
-            # one more than k, as the query itself may be among them
             best = place[_best(scores[i][place], first[place], k + 1)]
             found = [
                 (-float(np.dot(x[j], q[start + i])), member)
