@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 from llm_rows import by_id, documents, table
 from pyspark.sql import functions as F
 
+from tillview.llm import decontaminate as decontamination
 from tillview.llm import near_duplicates as near
 from tillview.llm import repeats
 from tillview.llm.components import components
@@ -155,6 +157,34 @@ def test_contaminated_equal_brute_force(spark):
     assert len(want) > 20
 
 
+@pytest.mark.parametrize("size", range(9, 21))
+def test_masks_hit_every_allowed_change(size):
+    window = min(size, decontamination.WINDOW)
+    for changed in combinations(range(window), window - decontamination.need(size)):
+        equal = set(range(window)) - set(changed)
+        assert any(
+            all(first + k in equal for k in mask)
+            for mask in decontamination.masks_of(size)
+            for first in range(window - mask[-1])
+        ), changed
+
+
+def test_short_items_with_every_allowed_change(spark):
+    items = {n: " ".join(f"i{n}w{k}" for k in range(n)) for n in range(9, 16)}
+    texts = []
+    for n, passage in items.items():
+        own = passage.split()
+        for many in range(n - -(-4 * n // 5) + 2):
+            for changed in combinations(range(n), many):
+                texts.append(" ".join(["before", *("x" if k in changed else w for k, w in enumerate(own)), "after"]))
+                texts.append(" ".join(w for k, w in enumerate(own) if k + 1 > many and k not in changed[:1]))
+    texts = dict(enumerate(random.Random(10).sample(texts, 1500)))
+    want = brute_contaminated(texts, items)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = by_id(decontaminate(documents(spark, list(texts.items())), bench))
+    assert {i: r["items"] for i, r in rows.items() if r.contaminated} == want
+
+
 # Repeated bytes
 
 

@@ -2,7 +2,9 @@
 
 A seed hashes the words of a window at fixed offsets and ignores the others, so that a changed
 word at an ignored place does not hide a copy. The three masks together hit every stretch of
-``WINDOW`` words of which at least ``SAME`` are equal. Seeds of documents meet seeds of the
+``WINDOW`` words of which at least ``SAME`` are equal. They miss some changes of items of
+``SHORT`` sizes, which leave them fewer places, so these items have four masks more; together
+they hit whatever changes ``need`` allows. Seeds of documents meet seeds of the
 benchmark in a join; a fixed-size bit table of the benchmark's seeds lets documents drop seeds
 that cannot meet any before the join (it may keep some in vain, never lose one).
 
@@ -37,6 +39,21 @@ LEAST = 5
 #: Word offsets that count.
 MASKS = ((0, 3, 4, 6, 7, 8), (0, 1, 2, 3, 6, 8), (0, 1, 5, 6, 7, 8))
 SPAN = 9
+#: Sizes of items of which the masks miss some allowed changes, and further masks for these.
+SHORT = (9, 10, 11, 12, 15)
+SHORT_MASKS = ((0, 1, 2, 3, 5, 6), (0, 3, 4, 5, 6, 7), (0, 1, 3, 4, 5, 8), (0, 1, 2, 3, 5, 7))
+
+
+def need(size: int) -> int:
+    """Equal words that prove an item of ``size`` words, within ``WINDOW`` words if it is longer."""
+    return SAME if size >= WINDOW else -(-4 * size // 5) if size >= SPAN else size
+
+
+def masks_of(size: int) -> tuple[tuple[int, ...], ...]:
+    """Masks whose seeds stand for an item of ``size`` words."""
+    if size < SPAN:
+        return (tuple(range(size)),)
+    return MASKS + SHORT_MASKS if size in SHORT else MASKS
 
 
 def seeds(hashes: np.ndarray, rows: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +120,7 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = np.array(own, dtype=np.int64).view(np.uint64)
-                masks = MASKS if len(hashes) >= SPAN else (tuple(range(len(hashes))),)
-                for mask in masks:
+                for mask in masks_of(len(hashes)):
                     found, first = seeds(hashes, np.zeros(len(hashes), dtype=np.int64), mask)
                     yield pa.RecordBatch.from_arrays(
                         [_long(found), pa.array(np.full(len(found), key)), pa.array(first.astype(np.int32))],
@@ -117,9 +133,9 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
 def document_stretches(
     documents: DataFrame, table: BitTable, lengths: list[int], key: str, text: str
 ) -> DataFrame:
-    """Words around seeds that may meet the benchmark: key, stretch, words, seeds, places."""
+    """Words around seeds that may meet items of ``lengths``: key, stretch, words, seeds, places."""
     shared = documents.sparkSession.sparkContext.broadcast(table)
-    masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
+    masks = sorted({mask for n in lengths for mask in masks_of(n)})
     schema = documents.select(key).schema.add("stretch", LongType()).add("words", ArrayType(LongType()))
     schema = schema.add("seeds", ArrayType(LongType())).add("places", ArrayType(IntegerType()))
 
@@ -134,9 +150,9 @@ def document_stretches(
                     all_seeds.append(found[near])
                     all_first.append(first[near])
                     all_ends.append(first[near] + mask[-1] + 1)
-                found, first, ends = map(np.concatenate, (all_seeds, all_first, all_ends))
-                if not len(found):
+                if not any(map(len, all_seeds)):
                     continue
+                found, first, ends = map(np.concatenate, (all_seeds, all_first, all_ends))
                 order = np.argsort(first, kind="stable")
                 found, first, ends = found[order], first[order], ends[order]
                 bounds = np.searchsorted(rows, np.arange(len(at)))
@@ -171,7 +187,9 @@ def find_contaminated(
     """``key`` and items, the sorted item ids, of every contaminated document, one row each."""
     items = stage(benchmark_words(benchmark), "decontaminate-items")
     table = stage(benchmark_seeds(items), "decontaminate-seeds")
-    lengths = [r[0] for r in items.select(F.size("words")).where(F.size("words") < SPAN).distinct().collect()]
+    # sizes from WINDOW upwards have the same masks, so these are few
+    sizes = items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct()
+    lengths = [r[0] for r in sizes.collect()]
     found = stage(
         document_stretches(documents, bit_table(table, "seed"), sorted(lengths), key, text), "decontaminate-stretches"
     )
@@ -194,13 +212,10 @@ def find_contaminated(
         "coalesce(get(words, cast(i + shift as int)) = w, false)))"
     )
     window = f"least({WINDOW}, size(item))"
-    need = (
-        f"case when size(item) >= {WINDOW} then {SAME} when size(item) >= {SPAN} "
-        "then cast(ceil(0.8 * size(item)) as int) else size(item) end"
-    )
+    least = f"element_at(array({', '.join(str(need(n)) for n in range(1, WINDOW + 1))}), {window})"
     proof = F.expr(
         f"exists(sequence(1, size(same) - {window} + 1), "
-        f"s -> size(filter(slice(same, s, {window}), x -> x)) >= {need})"
+        f"s -> size(filter(slice(same, s, {window}), x -> x)) >= {least})"
     )
     proven = (
         pairs.withColumn("same", same).where(proof).groupBy("stretch").agg(F.collect_set("item_id").alias("own"))
