@@ -14,6 +14,7 @@ from tillview.llm.quality import score_quality
 from tillview.sources.staging import stage
 
 KEY = "doc_id"
+ROW = "__row"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,19 @@ def _without(docs: DataFrame, gone: DataFrame, key: str = KEY) -> DataFrame:
     return docs.join(named, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents and a column that tells rows apart: the id, or a number where ids are missing or repeat."""
+    rows, ids = docs.agg(F.count("*"), F.countDistinct(KEY)).first()
+    if rows == ids:
+        return docs, KEY
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows"), ROW
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; of rows sharing an id all go or none."""
-    scored = score_quality(docs, _table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 0"))
+    """Documents that the quality classifier does not reject, row by row."""
+    docs, key = _numbered(docs)
+    scored = score_quality(docs, _table(spark, sf_dir, "labels"), keep=() if key == KEY else (key,))
+    return _without(docs, scored.where("predicted = 0"), key).drop(ROW)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +47,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Where ids are missing or repeat, every row is a document of its own and rows are numbered.
     """
-    rows, ids = docs.agg(F.count("*"), F.countDistinct(KEY)).first()
-    key = KEY
-    if rows != ids:
-        key = "__row"
-        docs = stage(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    docs, key = _numbered(docs)
     classes = near_duplicates(docs, key=key)
-    return _without(docs, classes.where(F.col(key) != F.col("class_id")), key).drop("__row")
+    return _without(docs, classes.where(F.col(key) != F.col("class_id")), key).drop(ROW)
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    return _without(docs, find_contaminated(docs, _table(spark, sf_dir, "benchmark")))
+    """Documents that hold no passage of the benchmark, row by row."""
+    docs, key = _numbered(docs)
+    return _without(docs, find_contaminated(docs, _table(spark, sf_dir, "benchmark"), key), key).drop(ROW)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

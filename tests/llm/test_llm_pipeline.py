@@ -11,6 +11,7 @@ from test_llm_text import PATH, _entities
 
 import __spark_entry__ as entry_point
 from tillview.llm.bpe import read_ranks
+from tillview.llm.decontaminate import find_contaminated
 from tillview.llm.quality import score_quality
 
 
@@ -62,6 +63,22 @@ def test_stages_with_repeated_and_missing_ids(spark):
         assert function(spark, docs.limit(0), SMALL).collect() == []
 
 
+def test_filters_decide_per_row(spark):
+    docs = table(spark, "documents").where("length(text) between 200 and 3000")
+    verdicts = {r.doc_id: r.predicted for r in score_quality(docs, table(spark, "labels")).collect()}
+    seen = {r.doc_id for r in find_contaminated(docs, table(spark, "benchmark")).collect()}
+    texts = {r.doc_id: r for r in docs.collect()}
+    good = next(i for i in sorted(texts) if verdicts[i] and i not in seen)
+    junk = next(i for i in sorted(texts) if not verdicts[i])
+    for stage, bad in ((corpus_pipeline.keep_good, junk), (corpus_pipeline.keep_unseen, min(seen))):
+        # ids without labels, so that the model stays the same
+        rows = [texts[i].asDict() | {"doc_id": own} for i in (good, bad, good) for own in (None, 10**9)]
+        mixed = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+        left = [r for r in stage(spark, mixed, SMALL).collect() if r.doc_id in (None, 10**9)]
+        assert sorted(str(r.doc_id) for r in left) == ["1000000000"] * 2 + ["None"] * 2
+        assert {r.text for r in left} == {texts[good].text}
+
+
 def test_registered_queries():
     names = entry_point.queries()
     for n in range(1, 11):

@@ -204,25 +204,26 @@ def score_quality(
     key: str = "doc_id",
     text: str = "text",
     label: str = "quality",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key``, held_out, score and predicted of every document.
+    """``key``, the columns ``keep``, held_out, score and predicted of every document.
 
     Learns from labelled documents outside fold ``held_out`` only. The statistics are written
     once, so that texts are read once for fitting and scoring.
     """
-    rows = stage(with_statistics(documents, text, (key,)), "quality")
+    rows = stage(with_statistics(documents, text, (key, *keep)), "quality")
     fold = remainder(key, folds) == held_out
     known = rows.where(~fold).join(one_label(labels, key, label), F.col(key) == F.col("label_key"))
     model = fit(known)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+            x = batch.column(len(keep) + 2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
             score = model.score(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                [key, "held_out", "score", "predicted"],
+                [*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                [key, *keep, "held_out", "score", "predicted"],
             )
 
-    schema = documents.select(key).schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
-    return rows.select(key, fold.alias("held_out"), "statistics").mapInArrow(apply, schema)
+    schema = documents.select(key, *keep).schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
+    return rows.select(key, *keep, fold.alias("held_out"), "statistics").mapInArrow(apply, schema)
