@@ -168,6 +168,16 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[10].text == texts[10]
 
 
+def test_numbers_do_not_end_a_context(spark):
+    card = "4111 1111 1111 1111"
+    near = [(i, f"Whitmore 1980 card {card} ext 12 until Larkspur {i}") for i in range(4)]
+    other = [(10 + i, f"1980 card until mail {i}") for i in range(60)]
+    rows = by_id(find_spans(documents(spark, near + other)))
+    for i, text in near:
+        assert [text[t.start : t.end] for t in rows[i].terms] == ["Whitmore", "Larkspur"]
+        assert [e.kind for e in rows[i].entities] == [2]
+
+
 def test_one_document_in_copies_reveals_nothing(spark):
     rows = [(i, "Zebulon wrote x.y@z.org") for i in range(50)]
     assert all(not r.terms for r in find_spans(documents(spark, rows)).collect())

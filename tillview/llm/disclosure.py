@@ -8,7 +8,8 @@ runs nor many repetitions cost more than one look at each character.
 **Terms.** A word near an entity reveals it as far as seeing the word makes the entity likely:
 pointwise mutual information log(N n_te / (n_t n_e)), as a share of the entity's information
 content log(N / n_e). Counts are of documents: n_t of those with the word anywhere, n_e of those
-with the entity, n_te of those with the word within ``REACH`` characters of the entity. Terms that
+with the entity, n_te of those with the word within ``REACH`` characters of the entity, whatever
+lies between but other entities, which are blanked. Terms that
 reach ``DISCLOSURE`` and stand by the entity in ``SUPPORT`` different texts are ``term`` spans
 wherever they stand by that entity, unless they overlap an entity. In the sanitised text entities
 become their kind, terms with digits or a capital are generalised, other terms removed.
@@ -47,7 +48,7 @@ REACH = 100
 SUPPORT = 3
 DISCLOSURE = 0.9
 
-SPANS = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
+SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,28 +76,15 @@ def _valid(kind: int, value: Column) -> Column:
 def _positions(found: Column, parts: Column, kind: int) -> Column:
     """Spans of the matches, whose places follow from the lengths of what lies between them."""
     n = F.size(found)
-    zipped = F.arrays_zip(
-        found.alias("value"), F.slice(parts, 1, n).alias("before"), F.slice(parts, F.lit(2), n).alias("after")
-    )
+    zipped = F.arrays_zip(found.alias("value"), F.slice(parts, F.lit(1), n).alias("before"))
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + F.length(m["0"])
         end = start + F.length(m["1"])
-        left = F.when(
-            F.length(m["0"]) > REACH, F.regexp_replace(F.right(m["0"], F.lit(REACH)), r"^[\p{L}\p{N}]+", "")
-        ).otherwise(m["0"])
-        right = F.when(
-            F.length(m["2"]) > REACH, F.regexp_replace(F.left(m["2"], F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
-        ).otherwise(m["2"])
-        span = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m["1"].alias("value"),
-            left.alias("left"), right.alias("right"),
-        )
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m["1"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    zipped = F.transform(
-        zipped, lambda z: F.struct(z["before"].alias("0"), z["value"].alias("1"), z["after"].alias("2"))
-    )
+    zipped = F.transform(zipped, lambda z: F.struct(z["before"].alias("0"), z["value"].alias("1")))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
     return F.aggregate(zipped, none, step, lambda state: state["spans"])
 
@@ -112,7 +100,42 @@ def with_entities(documents: DataFrame, text: str = "text", out: str = "entities
         matches = F.col(f"__found{k}")
         here = F.when(F.size(matches) > 0, _positions(matches, F.split(own, pattern, -1), k))
         spans.append(_kept(here, k))
-    return found.withColumn(out, F.concat(*spans)).drop(*(f"__found{k}" for k in range(len(PATTERNS))))
+    found = found.withColumn("__spans", F.concat(*spans))
+    found = found.withColumn("__blank", F.when(F.size("__spans") > 0, _blank(own, F.col("__spans"))))
+    around = F.transform("__spans", lambda s: _with_context(s, F.col("__blank")))
+    return found.withColumn(out, around).drop("__spans", "__blank", *(f"__found{k}" for k in range(len(PATTERNS))))
+
+
+def _blank(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of its entities, everything else where it was."""
+
+    def step(state: Column, span: Column) -> Column:
+        begin = F.greatest(span["start"], state["at"])
+        end = F.greatest(span["end"], state["at"])
+        added = F.concat(F.substring(text, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(added)).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(
+        ordered,
+        none,
+        step,
+        lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))),
+    )
+
+
+def _with_context(span: Column, blank: Column) -> Column:
+    """The span with ``REACH`` characters either side, without words that the reach cuts."""
+    begin = F.greatest(span["start"] - REACH, F.lit(0))
+    left = F.substring(blank, begin + 1, span["start"] - begin)
+    # one character more tells whether the last word goes on
+    right = F.substring(blank, span["end"] + 1, F.lit(REACH + 1))
+    left = F.when(begin > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
+    right = F.when(
+        F.length(right) > REACH, F.regexp_replace(F.left(right, F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
+    ).otherwise(right)
+    return F.struct(*(span[c].alias(c) for c in ("kind", "start", "end", "value")), left.alias("left"), right.alias("right"))
 
 
 def _kept(spans: Column, kind: int) -> Column:
