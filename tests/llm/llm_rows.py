@@ -20,7 +20,7 @@ EDGE = [
 #: Names that operators use inside; they must not get in the way.
 CLASHES = (
     "label score predicted held_out statistics key n total strong counted word words seeds places stretch items node own "
-    "prefixes root links entities terms text_key tokens bytes doc id copies pieces gram class position secrets fold label_key"
+    "prefixes root links entities terms text_key tokens bytes doc id copies pieces gram class position secrets fold label_key runs collapsed place block sentinel copy next hashes start period edited picked same"
 ).split()
 
 

@@ -7,7 +7,9 @@ from llm_rows import EDGE, documents
 from tillview.llm.bpe import decode, encode, round_trip
 from tillview.llm.decontaminate import decontaminate
 from tillview.llm.disclosure import sanitise, span_digest
+from tillview.llm.fingerprints import fingerprint_digest, fingerprints
 from tillview.llm.near_duplicates import near_duplicates
+from tillview.llm.periodic import find_runs, run_digest
 from tillview.llm.quality import score_quality
 from tillview.llm.repeats import cut_repeats
 from tillview.llm.secrets import scan_secrets, secret_digest
@@ -38,6 +40,10 @@ OPERATORS = {
     "near_duplicates": lambda s, d: near_duplicates(d),
     "decontaminate": lambda s, d: decontaminate(d, _benchmark(s)),
     "decontaminate_nothing": lambda s, d: decontaminate(d, _benchmark(s).limit(0)),
+    "fingerprints": lambda s, d: fingerprints(d),
+    "edited_fingerprints": lambda s, d: fingerprint_digest(d),
+    "runs": lambda s, d: find_runs(d),
+    "run_digest": lambda s, d: run_digest(d),
     "secrets": lambda s, d: secret_digest(d),
     "secret_spans": lambda s, d: scan_secrets(d),
 }

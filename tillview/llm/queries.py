@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from tillview.llm.bpe import round_trip
 from tillview.llm.decontaminate import decontaminate
 from tillview.llm.disclosure import span_digest
+from tillview.llm.fingerprints import fingerprint_digest
 from tillview.llm.hamming import search
 from tillview.llm.near_duplicates import near_duplicates
+from tillview.llm.periodic import run_digest
 from tillview.llm.quality import score_quality
 from tillview.llm.repeats import cut_repeats
 from tillview.llm.secrets import secret_digest
 from tillview.llm.toxicity import score_toxicity
 from tillview.llm.warc import archive_pages
+from tillview.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_repeats": op2_repeats,
@@ -77,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_runs": op13_runs,
 }
