@@ -266,8 +266,8 @@ def made_periodic(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def run_digest(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_runs, the longest run and digests of all runs and of the collapsed text."""
-    found = find_runs(documents, key, text)
+    """``key``, n_runs, the longest run and digests of all runs and of the collapsed text, after ``made_periodic``."""
+    found = find_runs(made_periodic(documents, key, text), key, text)
     ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"]))
     best = F.array_max(ranked)
     listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
