@@ -9,16 +9,13 @@ from tillview.catalog.queries import QUERIES
 from tillview.catalog.tables import sales_table
 from tillview.operators.filters import filter_condition, resolve_filters
 from tillview.plans import customers
-from tillview.plans.customers import (
-    build_customers,
-    customer_types,
-    first_purchase,
-    join_first_purchase,
-)
+from tillview.plans.customers import customer_types, first_purchase, join_first_purchase
 from tillview.plans.overview import kpis, store_summary, time_trend
 from tillview.plans.pareto import pareto_customers
 from tillview.plans.revenue import region_period, top_bottom_stores
 from tillview.schema import Filters, Period
+from tillview.sources.reader import read_sales
+from tillview.sources.staging import stage
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -104,27 +101,28 @@ def test_rows_of_a_busy_phone_are_spread(spark, columns):
             spark.conf.set(key, value)
 
 
-def _jobs(spark, call):
-    spark.sparkContext.setJobGroup("counted", "counted")
-    try:
-        call()
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+def test_the_customer_list_reads_lines_once(spark, stored, monkeypatch):
+    """Lines are read to write the customers down; list, facts and total read those."""
+    written = []
 
+    def noted(df, label):
+        written.append(plan(df))
+        return stage(df, label)
 
-def test_the_customer_list_runs_nothing_before_an_action(spark, stored):
+    monkeypatch.setattr(customers, "stage", noted)
     params = customers.CustomerParams(phone_status=("valid",), name_check=("BUILDING",))
+    source = stored.inputFiles()[0].rsplit("/", 1)[0]
     for report in (customers.customer_list, customers.customer_list_with_total):
-        assert _jobs(spark, lambda r=report: r(stored, params)) == 0
+        written.clear()
+        listed = report(stored, params)
+        assert [text.count("FileScan") for text in written] == [1]
+        assert all(source not in file for file in listed.inputFiles())
 
 
-def test_numbers_of_customers_are_not_sorted(stored):
-    numbers = build_customers(stored).select("phone", "store", "gross", "net", "orders", "last_order")
-    assert "SortAggregate" not in plan(numbers)
-    for line in plan(build_customers(stored)).splitlines():
-        if "SortAggregate" in line:
-            assert "min_by" in line and "sum(" not in line
+def test_lines_of_customers_are_not_sorted(stored):
+    """Texts are keys of the first aggregate, which hashes; only documents are sorted for first values."""
+    lines = plan(customers._documents(stored, ["phone", "store"]))
+    assert "SortAggregate" not in lines and "min_by" not in lines and lines.count("HashAggregate") == 2
 
 
 def test_region_period_counts_two_periods(stored):
@@ -138,10 +136,17 @@ def test_distinct_counts_are_shuffled_by_value(stored):
     """A hot store or phone is spread by the values counted, not held by one task."""
     by_store = plan(store_summary(stored))
     assert re.search(r"hashpartitioning\(store#\d+, (doc_no|phone)#\d+, (doc_no|phone)#\d+, gid#\d+", by_store)
-    by_customer = plan(build_customers(stored))
+    by_customer = plan(customers._documents(stored, ["phone", "store"]))
     assert re.search(r"hashpartitioning\(phone#\d+, store#\d+, doc_no#\d+", by_customer)
 
 
+def test_a_report_on_read_files_joins_nothing(spark, tmp_path):
+    stored = sales_table(spark, SF_DIR)
+    stored.write.parquet(str(tmp_path / "lines"))
+    text = plan(kpis(read_sales(spark, str(tmp_path / "lines"), positions=False)))
+    assert "Join" not in text and "_metadata" not in text and "file_path" not in text
+
+
 def test_pareto_holds_no_store_in_one_task(stored):
     text = plan(pareto_customers(stored))
     assert "rangepartitioning(block" in text

@@ -7,8 +7,9 @@ from rows import sales, values
 from tillview.operators.filters import filtered_rows
 from tillview.schema import POSITION, Filters
 from tillview.sinks.export import write_report
+from tillview.sources import files
 from tillview.sources.reader import choose_source, normalize, read_sales
-from tillview.sources.staging import drop_staged, shared_folder, stage
+from tillview.sources.staging import check_shared, drop_staged, shared_folder, stage
 
 
 def raw(spark, rows, schema):
@@ -130,6 +131,28 @@ def test_columns_are_merged_over_the_files_of_a_folder(spark, tmp_path, caplog):
         read_sales(spark, str(folder))
 
 
+def test_many_broken_files_cost_no_more_jobs(spark, tmp_path, monkeypatch):
+    """Broken files are told from others by one job, not one by one; those without rows lend their columns."""
+    folder = tmp_path / "folder"
+    raw(spark, [("2024-01-05", "A")], "`Ngày` string, `Brand` string").coalesce(1).write.parquet(str(folder / "a"))
+    raw(spark, [], "`Ngày` string, note string").coalesce(1).write.parquet(str(folder / "b"))
+    for i in range(40):
+        (folder / f"x{i}.parquet").write_bytes(b"PAR1 broken PAR1")
+    calls = []
+    merged = files._merged
+    monkeypatch.setattr(files, "_merged", lambda *a: calls.append(a) or merged(*a))
+    df = read_sales(spark, str(folder), skip_corrupt=True)
+    assert values(df, "brand") == ["A"] and "note" in df.columns and len(calls) == 1
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            check_shared("file:/tmp/spark-warehouse/_staging", master)
+        check_shared("hdfs://host/warehouse/_staging", master)
+    check_shared("file:/tmp/spark-warehouse/_staging", "local[8]")
+
+
 def test_an_input_without_dates_adds_no_rows(spark, two_files, tmp_path, caplog):
     bad = str(tmp_path / "undated")
     raw(spark, [("A", "x")], "region string, store string").write.parquet(bad)

@@ -33,6 +33,9 @@ from tillview.schema import (
     Filters,
     require,
 )
+from tillview.sources.staging import stage
+
+CUSTOMER_TEXTS = ("customer_name", "name_check", "phone_status")
 
 
 def first_purchase(df: DataFrame) -> DataFrame:
@@ -89,44 +92,67 @@ def new_vs_returning(df: DataFrame, filters: Filters = Filters()) -> DataFrame:
     )
 
 
-def _first_present(sales: DataFrame, name: str) -> Column:
-    """First value that is not null, in input order.
+def _documents(sales: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines combined by customer, document and texts: the only pass over them.
 
-    Tables read from files carry the position of each row; others are ordered
-    by time, document and value.
+    Texts are grouping keys here, and all that is summed or compared has a fixed size, so lines
+    are hashed and never sorted. Few rows per document are left, whatever its lines.
     """
-    value = F.col(name)
-    if POSITION in sales.columns:
-        place = F.col(POSITION)
-    else:
-        place = F.struct("order_ts", "doc_no", name)
-    return F.min_by(value, F.when(value.isNotNull(), place)).alias(name)
+    texts = [c for c in CUSTOMER_TEXTS if c not in keys]
+    place = [F.min(_packed(F.col(POSITION))).alias("place")] if POSITION in sales.columns else []
+    return sales.groupBy(*keys, "doc_no", *texts).agg(
+        total("gross").alias("gross"),
+        total("net").alias("net"),
+        F.min("order_ts").alias("first_order"),
+        F.max("order_ts").alias("last_order"),
+        *place,
+    )
+
+
+def _packed(position: Column) -> Column:
+    """A position as one number that orders alike; unlike a struct it is compared in place."""
+    file = position["input"].cast("decimal(9,0)") * F.lit("1e10").cast("decimal(11,0)") + position["file"]
+    return (file.cast("decimal(19,0)") * F.lit("1e19").cast("decimal(20,0)") + position["row"]).cast("decimal(38,0)")
 
 
 def _group_customers(sales: DataFrame, params: CustomerParams) -> DataFrame:
-    """Numbers and texts of each customer, aggregated apart.
+    """One row per customer, with what the list must know of all rows, written down once.
 
-    Sums, bounds and the distinct count are held in buffers of fixed size and so hash; texts
-    need a sort, which then carries neither the numbers nor the documents counted. Both sides
-    come out partitioned by customer and meet without another shuffle.
+    Rows without a phone or store belong to no customer but count for the latest order and the
+    checks present, so they are grouped too. First values that are not null are taken in
+    input order where rows have a position, else by time, document and value.
     """
     keys = ["phone", "store"] if params.per_store else ["phone"]
-    require(sales, *keys, "gross", "net", "doc_no", "customer_name", "name_check", "phone_status")
-    known = sales
-    for key in keys:
-        known = known.filter(F.col(key).isNotNull())
-    numbers = known.groupBy(*keys).agg(
+    require(sales, *keys, "gross", "net", "doc_no", *CUSTOMER_TEXTS)
+    documents = _documents(sales, keys)
+
+    def first_present(name: str) -> Column:
+        value = F.col(name)
+        place = F.col("place") if "place" in documents.columns else F.struct("first_order", "doc_no", name)
+        return F.min_by(value, F.when(value.isNotNull(), place)).alias(name)
+
+    check = F.col("name_check")
+    chosen = selected_values(params.name_check)
+    grouped = documents.groupBy(*keys).agg(
+        *(first_present(c) for c in ("customer_name", "name_check")),
         total("gross").alias("gross"),
         total("net").alias("net"),
         distinct("doc_no", "orders"),
-        F.min("order_ts").alias("first_order"),
-        F.max("order_ts").alias("last_order"),
-    )
-    texts = known.groupBy(*keys).agg(
-        *(_first_present(sales, c) for c in ("customer_name", "name_check", "phone_status"))
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
+        first_present("phone_status"),
+        F.max(check.isNotNull()).alias("any_check"),
+        F.max(strip(check).isin(chosen) if chosen else F.lit(False)).alias("chosen_check"),
     )
-    names = ("customer_name", "name_check", "gross", "net", "orders", "first_order", "last_order", "phone_status")
-    return numbers.join(texts, keys).select(*keys, *names)
+    return stage(grouped, "customers")
+
+
+def _known(grouped: DataFrame, params: CustomerParams) -> DataFrame:
+    keys = ["phone", "store"] if params.per_store else ["phone"]
+    known = grouped.drop("any_check", "chosen_check")
+    for key in keys:
+        known = known.filter(F.col(key).isNotNull())
+    return known
 
 
 def _tag_customers(customers: DataFrame, latest: Column, params: CustomerParams) -> DataFrame:
@@ -152,30 +178,44 @@ def _tag_customers(customers: DataFrame, latest: Column, params: CustomerParams)
 
 
 def build_customers(sales: DataFrame, params: CustomerParams = CustomerParams()) -> DataFrame:
-    """One row per phone, or per phone and store, tagged and above the minimum net."""
-    latest = sales.agg(F.max("order_ts")).scalar()
-    return _tag_customers(_group_customers(sales, params), latest, params)
+    """One row per phone, or per phone and store, tagged and above the minimum net.
+
+    The customers are written down, which reads the sales once; the result reads them.
+    """
+    grouped = _group_customers(sales, params)
+    return _tag_customers(_known(grouped, params), _latest(grouped), params)
+
+
+def _latest(grouped: DataFrame) -> Column:
+    return timestamp_literal(grouped.agg(F.max("last_order")).first()[0])
 
 
-def _keeps(rows: DataFrame, name: str, values) -> Column:
-    """Condition on a list by one of its columns, whose options are those among ``rows``.
+def _keeps(name: str, values, any_option: bool, any_chosen: bool) -> Column:
+    """Condition on a list by one of its columns.
 
     Chosen values that are options are kept; if none is, every option is; without any option
-    there is no filter. What ``rows`` hold is a subquery of one row, so nothing runs before the
-    report does.
+    there is no filter.
     """
-    value, chosen = F.col(name), selected_values(values)
-    any_option = rows.agg(F.max(value.isNotNull())).scalar()
-    if not chosen:
-        return F.coalesce(~any_option, F.lit(True)) | is_option(value)
-    any_chosen = rows.agg(F.max(strip(value).isin(chosen))).scalar()
-    kept = F.when(F.coalesce(any_chosen, F.lit(False)), value.isin(chosen)).otherwise(is_option(value))
-    return F.coalesce(~any_option, F.lit(True)) | kept
+    if not any_option:
+        return F.lit(True)
+    return F.col(name).isin(selected_values(values)) if any_chosen else is_option(F.col(name))
 
 
 def _listed(sales: DataFrame, params: CustomerParams) -> DataFrame:
-    """The customer list before sorting."""
-    built = build_customers(sales, params)
+    """The customer list before sorting. Options and the latest order are one row over the customers."""
+    grouped = _group_customers(sales, params)
+    status, chosen = F.col("phone_status"), selected_values(params.phone_status)
+    listable = F.col("phone").isNotNull() & (F.col("net") >= params.min_net)
+    if params.per_store:
+        listable &= F.col("store").isNotNull()
+    facts = grouped.agg(
+        F.max("last_order").alias("latest"),
+        F.max("any_check").alias("any_check"),
+        F.max("chosen_check").alias("chosen_check"),
+        F.max(listable & status.isNotNull()).alias("any_status"),
+        F.max(listable & strip(status).isin(chosen) if chosen else F.lit(False)).alias("chosen_status"),
+    ).first()
+    built = _tag_customers(_known(grouped, params), timestamp_literal(facts["latest"]), params)
     shown = (
         (params.show_inactive, TAG_INACTIVE),
         (params.show_vip, TAG_VIP),
@@ -183,8 +223,8 @@ def _listed(sales: DataFrame, params: CustomerParams) -> DataFrame:
     )
     tags = [tag for wanted, tag in shown if wanted]
     listed = built.filter(F.col("tag").isin(tags)) if tags else built
-    listed = listed.filter(_keeps(built, "phone_status", params.phone_status))
-    return listed.filter(_keeps(sales, "name_check", params.name_check))
+    listed = listed.filter(_keeps("phone_status", params.phone_status, facts["any_status"], facts["chosen_status"]))
+    return listed.filter(_keeps("name_check", params.name_check, facts["any_check"], facts["chosen_check"]))
 
 
 def _output(listed: DataFrame) -> DataFrame:

@@ -51,25 +51,59 @@ def _types(schema: StructType) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in schema}
 
 
+def _with_rows(spark: SparkSession, files: list[str], base: str | None) -> list[str]:
+    """Files whose footer can be read and says that there are rows: one job over all footers.
+
+    No column is read. Spark's own reader opens the files in tasks and passes over broken ones.
+    """
+    reader = _reader(spark, base).schema("__none int").option("ignoreCorruptFiles", "true")
+    named = reader.parquet(*files).select("_metadata.file_path").distinct()
+    found = {row[0] for row in named.collect()}
+    return [file for file in files if _row_name(spark, file) in found]
+
+
+def _row_name(spark: SparkSession, file: str) -> str:
+    """What rows call a file that is read as ``file``."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).toUri().toString()
+
+
 def _readable(spark: SparkSession, files: list[str], skip_corrupt: bool, base: str | None) -> list[FileGroup]:
+    """Groups of files whose schemas merge, broken ones left out on request.
+
+    Files are sorted into broken ones and others by one job, whatever the number of either.
+    Those without rows only lend their columns.
+    """
+    if not files or not skip_corrupt:
+        return _merging(spark, files, base)
+    full = _with_rows(spark, files, base)
+    rest = sorted(set(files) - set(full))
+    groups = _merging(spark, full, base)
+    if rest:
+        for file in rest:
+            log.warning("cannot read %s, or it has no rows", file)
+        try:
+            option = _reader(spark, base).option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
+            groups.append(FileGroup((), option.parquet(*rest).schema, base))
+        except (PySparkException, Py4JJavaError) as error:
+            log.info("no columns from files without rows: %s", reason(error))
+    return groups
+
+
+def _merging(spark: SparkSession, files: list[str], base: str | None) -> list[FileGroup]:
     """Groups of files whose schemas merge. What does not merge is halved until it does.
 
-    One job serves all files unless some cannot be read or disagree on a type; each of those
-    costs as many more jobs as the number of files can be halved.
+    One job serves all files unless some disagree on a type; each of those costs as many more
+    jobs as the number of files can be halved.
     """
     if not files:
         return []
     try:
         return [FileGroup(tuple(files), _merged(spark, files, base), base)]
-    except (PySparkException, Py4JJavaError) as error:
-        if len(files) > 1:
-            half = len(files) // 2
-            parts = (files[:half], files[half:])
-            return [group for part in parts for group in _readable(spark, part, skip_corrupt, base)]
-        if not skip_corrupt:
+    except (PySparkException, Py4JJavaError):
+        if len(files) == 1:
             raise
-        log.warning("cannot read %s: %s", files[0], reason(error))
-        return []
+        half = len(files) // 2
+        return [group for part in (files[:half], files[half:]) for group in _merging(spark, part, base)]
 
 
 def file_groups(
@@ -92,5 +126,7 @@ def file_groups(
 
 def read_group(spark: SparkSession, group: FileGroup) -> DataFrame:
     """The rows of a group; a file that breaks half way fails the task, which is tried again."""
+    if not group.files:
+        return spark.createDataFrame([], group.schema)
     reader = _reader(spark, group.base).schema(group.schema)
     return reader.option("ignoreCorruptFiles", "false").parquet(*group.files)

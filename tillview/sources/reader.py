@@ -78,11 +78,14 @@ def normalize(df: DataFrame, names: dict[str, str] = SOURCE_NAMES, money: str =
 
 
 def _with_position(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Adds the place of each row: number of the input, of the file in it, and of the row in that."""
+    """Adds the place of each row: number of the input, of the file in it, and of the row in that.
+
+    The size of the list of files decides how it is joined.
+    """
     numbered = rows.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
     position = F.struct("input", "file", F.col("__row").alias("row"))
     return (
-        numbered.join(F.broadcast(numbers), "__path", "left")
+        numbered.join(numbers, "__path", "left")
         .withColumn(POSITION, position)
         .drop("__path", "__row", "input", "file")
     )
@@ -109,6 +112,7 @@ def read_sales(
     money: str = "decimal",
     skip_corrupt: bool = False,
     persist: bool = False,
+    positions: bool = True,
 ) -> DataFrame:
     """Sales from one or many parquet inputs, stacked by column name.
 
@@ -117,7 +121,9 @@ def read_sales(
     as a whole and with a warning each, files whose footer cannot be read and inputs that
     do not exist; files that break later fail the query. Files without a date column add
     no rows, with a warning. ``persist`` keeps the table on the executors for reuse by all
-    reports. The driver lists the files; their footers are read by a distributed job.
+    reports. The driver lists the files; their footers are read by a distributed job. Without
+    ``positions`` rows do not know their place, which only the customer list asks for (it then
+    takes first values by time), and no row is joined with its file.
     """
     inputs = [paths] if isinstance(paths, str) else list(paths)
     places: dict[str, tuple[str, int, int]] = {}
@@ -146,7 +152,8 @@ def read_sales(
     tables = []
     for group in groups:
         if {names["order_ts"], "order_ts"} & set(group.schema.names):
-            tables.append(normalize(_with_position(read_group(spark, group), numbers), names, money))
+            rows = read_group(spark, group)
+            tables.append(normalize(_with_position(rows, numbers) if positions else rows, names, money))
         else:
             log.warning("no date column, so no rows, in %s", ", ".join(group.files))
     if not tables:

@@ -13,11 +13,14 @@ _folders: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, as a full URI.
 
-    Where that is unset, as in tests, it lies below the warehouse, which all executors share too.
+    Where that is unset, it lies below the warehouse. A warehouse on a local disk, the default, is
+    refused unless the master is local too: executors would not share it.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+        check_shared(_qualified(spark, root), context.master)
     folder = f"{_qualified(spark, root)}/{context.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
@@ -25,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def check_shared(uri: str, master: str) -> None:
+    """Raises if a folder of this URI is one that executors of this master do not share."""
+    if uri.startswith("file:") and master.split("[")[0] != "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {uri} is local to each machine")
+
+
 def _qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, which all processes then agree on."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
