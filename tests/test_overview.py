@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from rows import sales, values
 
+from tillview.plans.daily import count_days, kpis_of_days, trend_of_days
 from tillview.plans.overview import kpis, product_summary, region_time, store_summary, time_trend
 from tillview.schema import Period, ProductParams
 
@@ -114,3 +115,24 @@ def test_floating_point_amounts(spark):
     floats = df.withColumns({c: df[c].cast("double") for c in ("gross", "net")})
     assert kpis(floats).collect() == kpis(df).collect()
     assert time_trend(floats, Period("month")).collect() == time_trend(df, Period("month")).collect()
+
+
+def test_days_merge_to_any_period(spark):
+    """Distinct counts of every grain and range from the same stored days, empty ones and no days included."""
+    rows = [(f"2024-0{1 + i % 5}-{1 + i % 28:02} 10:00:00", i % 7, i % 5, f"d{i % 40}", f"p{i % 13}" if i % 3 else None) for i in range(200)]
+    df = sales(spark, rows, "order_ts", "gross", "net", "doc_no", "phone")
+    days = count_days(df)
+    assert kpis_of_days(days).collect() == kpis(df).collect()
+    some = df.where("order_ts >= timestamp_ntz'2024-02-03' AND order_ts < timestamp_ntz'2024-04-02'")
+    assert kpis_of_days(days, date(2024, 2, 3), date(2024, 4, 1)).collect() == kpis(some).collect()
+    for period in (Period("day"), Period("week", 6), Period("month"), Period("quarter"), Period("year")):
+        assert trend_of_days(days, period).collect() == time_trend(df, period).collect()
+    nothing = count_days(df.limit(0))
+    assert kpis_of_days(nothing).collect() == kpis(df.limit(0)).collect()
+    assert trend_of_days(nothing).collect() == []
+
+
+def test_bitmaps_expand_nothing_and_do_not_read_sales(spark):
+    df = sales(spark, [("2024-01-05", 1, 1, "d", "p")], "order_ts", "gross", "net", "doc_no", "phone")
+    text = trend_of_days(count_days(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in text and "bitmap_or_agg" in text and "doc_no" not in text and "phone" not in text

@@ -293,6 +293,11 @@ ORACLES: dict[str, str] = {
     "kpis": f"WITH {SALES} {TOTALS_OF_ALL} true)",
     "kpis_filtered": f"""WITH {SALES} {TOTALS_OF_ALL} {clean(*DIMENSIONS)}
   AND order_ts <= (SELECT date_trunc('day', max(order_ts)) FROM sales))""",
+    "kpis_bitmap": f"WITH {SALES} {TOTALS_OF_ALL} true)",
+    "kpis_bitmap_days": f"""WITH {SALES} {TOTALS_OF_ALL}
+  CAST(order_ts AS DATE) BETWEEN DATE '1995-03-05' AND DATE '1996-07-20')""",
+    "trend_month_bitmap": trend("month"),
+    "trend_week_bitmap": trend("week_sun"),
     "trend_day": trend("day"),
     "trend_week_sun": trend("week_sun"),
     "trend_month": trend("month"),
@@ -436,6 +441,7 @@ ORACLES |= {
         ("customers", "customers_by_store"),
         ("pareto", "pareto_top"),
         ("cohort", "cohort_retention"),
+        ("kpis_bitmap", "kpis_bitmap"),
     )
 }
 ORACLES["product_summary_dirty"] = products("CAST(sum(quantity) AS DOUBLE)").replace(

@@ -29,6 +29,7 @@ from tillview.plans.customers import (
     join_first_purchase,
     new_vs_returning,
 )
+from tillview.plans.daily import count_days, kpis_of_days, trend_of_days
 from tillview.plans.overview import kpis, product_summary, region_time, store_summary, time_trend
 from tillview.plans.pareto import pareto_customers, pareto_display
 from tillview.plans.revenue import (
@@ -195,6 +196,13 @@ QUERIES: dict[str, Query] = {
     "kpis_filtered": on_sales(
         lambda s: kpis(apply_filters(s)), TOTALS + " doc_type brand region store"
     ),
+    "kpis_bitmap": on_sales(lambda s: kpis_of_days(count_days(s)), TOTALS),
+    "kpis_bitmap_days": on_sales(
+        lambda s: kpis_of_days(count_days(s), date(1995, 3, 5), date(1996, 7, 20)), TOTALS
+    ),
+    "trend_month_bitmap": on_sales(lambda s: trend_of_days(count_days(s), Period("month")), TOTALS),
+    "trend_week_bitmap": on_sales(lambda s: trend_of_days(count_days(s), Period("week", 6)), TOTALS),
+    "kpis_bitmap_dirty": on_dirty(lambda s: kpis_of_days(count_days(s))),
     "trend_day": on_sales(lambda s: time_trend(s, Period("day")), TOTALS),
     "trend_week_sun": on_sales(lambda s: time_trend(s, Period("week", 6)), TOTALS),
     "trend_month": on_sales(lambda s: time_trend(s, Period("month")), TOTALS),

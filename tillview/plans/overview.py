@@ -60,7 +60,11 @@ def time_trend(sales: DataFrame, period: Period = Period()) -> DataFrame:
     labelled by their first day. The windows see one row per period.
     """
     require(sales, "gross", "net", "doc_no", "phone")
-    trend = by_period(sales, period, [], sales_totals())
+    return trend_of_totals(by_period(sales, period, [], sales_totals()), period)
+
+
+def trend_of_totals(trend: DataFrame, period: Period) -> DataFrame:
+    """``time_trend`` from start, gross, net, orders and customers of the periods with sales."""
     if period.grain != "week":
         trend = _fill_gaps(trend, period)
     trend = trend.withColumn("prev_net", F.lag("net").over(Window.orderBy("start")))
