@@ -79,8 +79,36 @@ def test_pigeonhole_finds_every_code_within_the_radius():
     codes = rng.integers(0, 1 << 16, (500, 4)).astype(np.uint16)
     queries = codes[:20] ^ (1 << rng.integers(0, 16, (20, 4))).astype(np.uint16)
     far = hamming.distances(queries, codes)
-    for radius in (0, 3, 4, 9, 30):
-        assert (hamming.BlockIndex(codes).within(queries, radius) == (far <= radius)).all()
+    index = hamming.BlockIndex(codes)
+    for radius in (0, 3, 4, 9, 30, 64):
+        for i, query in enumerate(queries):
+            rows, apart = index.within(query, radius)
+            assert rows.tolist() == np.flatnonzero(far[i] <= radius).tolist() and (apart == far[i][rows]).all()
+
+
+def test_probing_spares_most_rows_of_tight_groups():
+    """Rows whose buckets are not probed are neither compared nor multiplied; on grouped vectors that is most."""
+    x = np.array([v for _, v in skewed(6000, 110, 90)])
+    codes = hamming.learn(np.random.default_rng(1).permutation(x), float(np.linalg.norm(x, axis=1).max()), 20)
+    index, asked = hamming.BlockIndex(codes.substrings(x)), codes.query_substrings(x)
+    met = [len(index.probe(asked[i], codes.radius)) for i in range(1000, 1100)]
+    ranked = [len(hamming._reached(index, asked[i], codes, 21)) for i in range(1000, 1100)]
+    assert np.mean(met) < 0.35 * len(x) and np.mean(ranked) < 0.1 * len(x)
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(i % 9, [float(i), float(i * i % 5), 1.0 + i % 3]) for i in range(18)]
+    df = vectors(spark, rows)
+    names = ("id", "v", "ids", "block", "part", "asks", "score", "query_id", "rank")
+    plain = hamming.search(df, df.where("vec_id < 3"), 4).collect()
+    clashing = df.withColumns({name: F.lit(name) for name in names})
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, hamming.search(clashing, clashing.where("vec_id < 3"), 4).collect()))
+    best = {}
+    for i, v in rows[:3]:
+        for j, w in rows:
+            if i != j:
+                best.setdefault(i, {})[j] = max(best.get(i, {}).get(j, -np.inf), float(np.dot(v, w)))
+    assert {r.query_id for r in plain} == {0, 1, 2} and all(r.vec_id != r.query_id for r in plain)
 
 
 @pytest.mark.parametrize("n", [1, 2, 30])

@@ -5,8 +5,9 @@ keeps the signs close to the values, both learned on at most ``SAMPLE_ROWS`` vec
 hash of their id. Inner products of vectors of any length become angles by one more component,
 which fills every vector up to the largest length. Codes split into substrings, and every block
 of candidates has an index of each substring. A code within radius r of a query has a substring
-within r / substrings of the query's (pigeonhole), so those buckets are probed, codes farther
-than r are left, and the rest is ranked by exact inner products in double precision. The first
+within r / substrings of the query's (pigeonhole), so those buckets are probed; only rows found in
+them have their codes compared, and only those within r their exact inner products taken, in double
+precision. The first
 radius is learned too: for vectors of the sample, the least that reaches ``RECALL`` of their true
 neighbours among the sample. A query is probed again with a larger radius, up to all bits, until
 its radius exceeds the distance of its own k-th nearest code by ``slack``. That is what true
@@ -133,43 +134,46 @@ def _strata(reach: np.ndarray) -> list[np.ndarray]:
 
 
 class BlockIndex:
-    """Buckets of every substring of a block of codes."""
+    """Buckets of every substring of a block of codes, and the rows of each bucket."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.parts = [np.unique(codes[:, k], return_inverse=True) for k in range(codes.shape[1])]
-
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Which codes lie within ``radius`` of each query.
-
-        All buckets whose value is within the pigeonhole's share are probed; the distances of the
-        values found serve the full distance too.
-        """
+        self.parts = []
+        for k in range(codes.shape[1]):
+            rows = np.argsort(codes[:, k], kind="stable")
+            values, starts = np.unique(codes[rows, k], return_index=True)
+            self.parts.append((values, np.append(starts, len(rows)), rows))
+
+    def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """Rows in some bucket whose value is within the pigeonhole's share of the query's, in order."""
         share = radius // len(self.parts)
-        probed = np.zeros((len(queries), len(self.codes)), dtype=bool)
-        total = np.zeros((len(queries), len(self.codes)), dtype=np.uint8)
-        for k, (values, inverse) in enumerate(self.parts):
-            apart = ONES[queries[:, k, None] ^ values[None, :]]
-            near = apart[:, inverse]
-            probed |= near <= share
-            total += near
-        return probed & (total <= radius)
+        met = np.zeros(len(self.codes), dtype=bool)
+        for k, (values, starts, rows) in enumerate(self.parts):
+            near = np.flatnonzero(ONES[values ^ query[k]] <= share)
+            sizes = starts[near + 1] - starts[near]
+            skipped = np.repeat(starts[near] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(near) else sizes
+            met[rows[skipped + np.arange(sizes.sum())]] = True
+        return np.flatnonzero(met)
 
+    def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose code lies within ``radius`` of the query's, and how far. Only rows met are compared."""
+        met = self.probe(query, radius)
+        far = ONES[self.codes[met] ^ query].sum(axis=1, dtype=np.int64)
+        kept = far <= radius
+        return met[kept], far[kept]
 
-def _reached(index: BlockIndex, queries: np.ndarray, codes: Codes, k: int) -> np.ndarray:
-    """Which codes of a block to rank for each query.
+
+def _reached(index: BlockIndex, query: np.ndarray, codes: Codes, k: int) -> np.ndarray:
+    """Rows of a block to rank for a query.
 
     The radius grows until it holds k codes and covers the k-th by the slack, or all bits.
     """
     bits = SUBSTRING_BITS * index.codes.shape[1]
-    near = index.within(queries, codes.radius)
-    radius, wanting = codes.radius, np.arange(len(queries))
-    while radius < bits and len(wanting):
-        inner = index.within(queries[wanting], radius - codes.slack) if radius >= codes.slack else near[wanting] & False
-        wanting = wanting[inner.sum(axis=1) < k]
+    radius = codes.radius
+    near, far = index.within(query, radius)
+    while radius < bits and (far <= radius - codes.slack).sum() < k:
         radius = min(bits, radius + GROWTH)
-        if len(wanting):
-            near[wanting] = index.within(queries[wanting], radius)
+        near, far = index.within(query, radius)
     return near
 
 
@@ -282,18 +286,13 @@ def _search_block(
     """The best of one block for each query: id of the query, id of the row, inner product."""
     first = np.array([i[0] for i in ids])
     index, asked = BlockIndex(codes.substrings(x)), codes.query_substrings(q)
-    for start in range(0, len(q), PROBE_ROWS):
-        some = slice(start, start + PROBE_ROWS)
+    for i in range(len(q)):
         # one more than k, as the query itself may be among them
-        near, scores = _reached(index, asked[some], codes, k + 1), q[some] @ x.T
-        for i in range(len(near)):
-            place = np.flatnonzero(near[i])
-            best = place[_best(scores[i][place], first[place], k + 1)]
-            found = [
-                (-float(np.dot(x[j], q[start + i])), member)
-                for j in best.tolist()
-                for member in ids[j]
-                if member != own[start + i]
-            ]
-            for score, member in sorted(found)[:k]:
-                yield own[start + i], member, -score
+        place = _reached(index, asked[i], codes, k + 1)
+        scores = x[place] @ q[i]
+        best = place[_best(scores, first[place], k + 1)]
+        found = [
+            (-float(np.dot(x[j], q[i])), member) for j in best.tolist() for member in ids[j] if member != own[i]
+        ]
+        for score, member in sorted(found)[:k]:
+            yield own[i], member, -score
