@@ -293,6 +293,8 @@ ORACLES: dict[str, str] = {
     "kpis": f"WITH {SALES} {TOTALS_OF_ALL} true)",
     "kpis_filtered": f"""WITH {SALES} {TOTALS_OF_ALL} {clean(*DIMENSIONS)}
   AND order_ts <= (SELECT date_trunc('day', max(order_ts)) FROM sales))""",
+    "kpis_stored": f"""WITH {SALES} {TOTALS_OF_ALL} {clean(*DIMENSIONS)}
+  AND order_ts BETWEEN TIMESTAMP '1995-03-05 00:00:00' AND TIMESTAMP '1996-07-20 00:00:00')""",
     "kpis_bitmap": f"WITH {SALES} {TOTALS_OF_ALL} true)",
     "kpis_bitmap_days": f"""WITH {SALES} {TOTALS_OF_ALL}
   CAST(order_ts AS DATE) BETWEEN DATE '1995-03-05' AND DATE '1996-07-20')""",

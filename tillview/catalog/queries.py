@@ -52,6 +52,7 @@ from tillview.schema import (
 from tillview.sinks.export import write_report
 from tillview.sources.reader import choose_source, normalize, read_sales
 from tillview.sources.staging import new_folder
+from tillview.sources.store import open_sales, save_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,11 +192,22 @@ def first_purchase_rows(sales: DataFrame) -> DataFrame:
     return join_first_purchase(rows, first_purchase(sales))
 
 
+STORED = Filters(start=date(1995, 3, 5), end=date(1996, 7, 20))
+
+
+def kpis_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of a period from a copy partitioned by month, of which other months are not read."""
+    folder = new_folder(spark, "sales-copy")
+    save_sales(sales_table(spark, sf_dir, TOTALS + " doc_type brand region store"), folder)
+    return kpis(apply_filters(open_sales(spark, folder, STORED.start, STORED.end), STORED))
+
+
 QUERIES: dict[str, Query] = {
     "kpis": on_sales(kpis, TOTALS),
     "kpis_filtered": on_sales(
         lambda s: kpis(apply_filters(s)), TOTALS + " doc_type brand region store"
     ),
+    "kpis_stored": kpis_stored,
     "kpis_bitmap": on_sales(lambda s: kpis_of_days(count_days(s)), TOTALS),
     "kpis_bitmap_days": on_sales(
         lambda s: kpis_of_days(count_days(s), date(1995, 3, 5), date(1996, 7, 20)), TOTALS
