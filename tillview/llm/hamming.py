@@ -133,48 +133,72 @@ def _strata(reach: np.ndarray) -> list[np.ndarray]:
     return [part[:: -(-len(part) // STRATUM_QUERIES)] for part in eighths] + [order[-STRATUM_QUERIES:]]
 
 
+#: Buckets that hold a larger share of a block are marked row by row, others by their lists.
+FEW = 1 / 8
+
+
 class BlockIndex:
     """Buckets of every substring of a block of codes, and the rows of each bucket."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.packed = _packed(codes)
         self.parts = []
         for k in range(codes.shape[1]):
-            rows = np.argsort(codes[:, k], kind="stable")
-            values, starts = np.unique(codes[rows, k], return_index=True)
-            self.parts.append((values, np.append(starts, len(rows)), rows))
+            values, bucket = np.unique(codes[:, k], return_inverse=True)
+            rows = np.argsort(bucket, kind="stable")
+            self.parts.append((values, bucket, np.searchsorted(bucket[rows], np.arange(len(values) + 1)), rows))
 
     def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows in some bucket whose value is within the pigeonhole's share of the query's, in order."""
         share = radius // len(self.parts)
-        met = np.zeros(len(self.codes), dtype=bool)
-        for k, (values, starts, rows) in enumerate(self.parts):
-            near = np.flatnonzero(ONES[values ^ query[k]] <= share)
-            sizes = starts[near + 1] - starts[near]
-            skipped = np.repeat(starts[near] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(near) else sizes
-            met[rows[skipped + np.arange(sizes.sum())]] = True
+        met = np.zeros(len(self.packed), dtype=bool)
+        for k, (values, bucket, starts, rows) in enumerate(self.parts):
+            close = ONES[values ^ query[k]] <= share
+            near = np.flatnonzero(close)
+            if (starts[near + 1] - starts[near]).sum() > FEW * len(met):
+                met |= close[bucket]
+            else:
+                for first, end in zip(starts[near].tolist(), starts[near + 1].tolist(), strict=True):
+                    met[rows[first:end]] = True
         return np.flatnonzero(met)
 
     def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose code lies within ``radius`` of the query's, and how far. Only rows met are compared."""
-        met = self.probe(query, radius)
-        far = ONES[self.codes[met] ^ query].sum(axis=1, dtype=np.int64)
+        met, far = self.distances(query, radius)
         kept = far <= radius
         return met[kept], far[kept]
 
+    def distances(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows met when probing for ``radius``, and how far their codes are, some farther than that."""
+        met = self.probe(query, radius)
+        far = np.bitwise_count(self.packed[met] ^ _packed(query[None, :])).sum(axis=1, dtype=np.int64)
+        return met, far
+
+
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """Substrings of 16 bits by fours in words of 64."""
+    wide = np.zeros((len(codes), -(-codes.shape[1] // 4) * 4), dtype="<u2")
+    wide[:, : codes.shape[1]] = codes
+    return wide.view("<u8")
+
 
 def _reached(index: BlockIndex, query: np.ndarray, codes: Codes, k: int) -> np.ndarray:
     """Rows of a block to rank for a query.
 
-    The radius grows until it holds k codes and covers the k-th by the slack, or all bits.
+    The radius grows by steps until it covers the k-th code of those met by the slack, or all bits. The k-th of the rows
+    met is no nearer than the k-th of all, so a second probe is enough once k are met.
     """
-    bits = SUBSTRING_BITS * index.codes.shape[1]
+    bits = SUBSTRING_BITS * len(index.parts)
     radius = codes.radius
-    near, far = index.within(query, radius)
-    while radius < bits and (far <= radius - codes.slack).sum() < k:
-        radius = min(bits, radius + GROWTH)
-        near, far = index.within(query, radius)
-    return near
+    while True:
+        met, far = index.distances(query, radius)
+        if radius < bits and len(met) < min(k, len(index.packed)):
+            radius = min(bits, radius + GROWTH)
+            continue
+        most = int(np.partition(far, k - 1)[k - 1]) + codes.slack if len(far) >= k else bits
+        if min(most, bits) <= radius:
+            return met[far <= radius]
+        radius = min(bits, radius - (radius - most) // GROWTH * GROWTH)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
