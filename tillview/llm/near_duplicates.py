@@ -1,10 +1,10 @@
-"""Jaccard join on word shingles: MinHash LSH forest, then exact verification.
+"""Jaccard join on word shingles: MinHash banding, then exact verification.
 
 A document is the set of its shingles of five words in lower case; one with fewer words is one
-shingle. Documents with equal sets are one node. Each of ``TREES`` prefix tries orders the nodes
-by a sequence of min-hashes; nodes that share a prefix are candidates. Prefixes begin ``DEEPEST``
-long and are shortened until a pair of the least similarity meets in some trie with probability
-``TARGET``; shorter ones would only add pairs to verify.
+shingle. Documents with equal sets are one node. Each of ``TREES`` bands hashes a prefix of as many
+min-hashes; nodes that share one are candidates. All prefixes have the length, ``DEEPEST`` at most,
+at which a pair of the least similarity meets in some band with probability ``TARGET``. (A forest
+would keep tries and shorten prefixes by what they hold; here one depth serves all data.)
 
 Nodes joined by shared prefixes form candidate groups. All pairs within a group are verified
 exactly, from overlaps of their sets, so a pair that no trie found counts as well if its group
