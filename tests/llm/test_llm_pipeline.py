@@ -1,13 +1,14 @@
 """The pipeline against a brute-force version of its decisions."""
 
 import re
+import unicodedata
 
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
 from llm_rows import SMALL, table
 from test_llm_pairs import brute_contaminated, brute_near
-from test_llm_text import PATH, _entities
+from test_llm_text import PATH, _entities, brute_terms
 
 import __spark_entry__ as entry_point
 from tillview.llm.bpe import read_ranks
@@ -15,17 +16,24 @@ from tillview.llm.decontaminate import find_contaminated
 from tillview.llm.quality import score_quality
 
 
-def _clean(text):
-    """Entities replaced from the left; small tables reveal nothing else."""
-    spans = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in _entities(text)))
+def _clean(text, terms):
+    """Entities and terms replaced from the left."""
+    spans = [(int(a), int(b), k.upper()) for k, a, b in (s.split(":") for s in _entities(text))]
+    spans += [(a, b, _general(text[a:b])) for a, b in terms]
     out, at = "", 0
-    for start, end, kind in spans:
+    for start, end, name in sorted(spans):
         if start >= at:
-            out += text[at:start] + f"[{kind.upper()}]"
+            out += text[at:start] + (name and f"[{name}]")
         at = max(at, end)
     return out + text[at:]
 
 
+def _general(word):
+    if any(unicodedata.category(c)[0] == "N" for c in word):
+        return "NUMBER"
+    return "NAME" if unicodedata.category(word[0]) == "Lu" else ""
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = table(spark, "documents")
     kept = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -35,7 +43,9 @@ def test_pipeline_equals_brute_force(spark):
     kept = {i: t for i, t in kept.items() if classes[i][0] == i}
     items = {r.item_id: r.text for r in table(spark, "benchmark").collect()}
     seen = brute_contaminated(kept, items)
-    kept = {i: _clean(t) for i, t in kept.items() if i not in seen}
+    kept = {i: t for i, t in kept.items() if i not in seen}
+    terms = brute_terms(kept)
+    kept = {i: _clean(t, terms[i]) for i, t in kept.items()}
     library = tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={}
     )

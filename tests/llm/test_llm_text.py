@@ -4,13 +4,17 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
+from math import log2
 
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from llm_rows import by_id, documents, table
 
+from tillview.llm import disclosure
 from tillview.llm.arrays import slices
 from tillview.llm.bpe import Vocabulary, decode, encode, read_ranks, round_trip
 from tillview.llm.disclosure import KINDS, find_spans, sanitise, span_digest
@@ -152,6 +156,44 @@ def test_personal_data_equals_the_patterns(spark):
         assert row.spans.startswith(",".join(want))
 
 
+def _span(entity):
+    kind, start, end = entity.split(":")
+    return kind, int(start), int(end)
+
+
+def _word_list(text):
+    return [m[0].lower() for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
+
+
+def brute_terms(texts):
+    """Places of revealing words by id, from plain counts over all texts."""
+    total, n_t, n_e, n_te = len(texts), Counter(), Counter(), Counter()
+    for text in texts.values():
+        spans = [_span(e) for e in _entities(text)]
+        names, blank = set(), list(text)
+        for kind, start, end in spans:
+            value = text[start:end]
+            names.add((kind, value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)))
+            blank[start:end] = " " * (end - start)
+        n_t.update(set(_word_list(text)))
+        n_e.update(names)
+        n_te.update((w, e) for w in set(_word_list("".join(blank))) for e in names)
+    revealing = set()
+    for (word, entity), both in n_te.items():
+        if both > 1 and n_t[word] > 1 and 1 < n_e[entity] < total:
+            content = log2(total / n_e[entity])
+            information = log2(total * min(1, both / n_t[word]) / n_e[entity])
+            if information >= 0.9 * content - 1e-9 and both * information > log2(total) + 1e-9:
+                revealing.add(word)
+    out = defaultdict(list)
+    for i, text in texts.items():
+        spans = [_span(e)[1:] for e in _entities(text)]
+        for m in regex.finditer(r"[\p{L}\p{N}]+", text):
+            if m[0].lower() in revealing and not any(a < m.end() and m.start() < b for a, b in spans):
+                out[i].append((m.start(), m.end()))
+    return out
+
+
 def test_terms_that_reveal_an_entity(spark):
     common = "the quick brown bird sings about green hills"
     near = [(i, f"{common} number{i} by Zebulon42 wrote mail x.y@z.org today from Grimsdale orchard") for i in range(4)]
@@ -161,23 +203,75 @@ def test_terms_that_reveal_an_entity(spark):
     texts = dict(near + other)
     for i in range(4):
         found = [texts[i][t.start : t.end] for t in rows[i].terms]
-        assert found == ["Zebulon42", "Grimsdale", "orchard"]
+        assert found == ["by", "Zebulon42", "Grimsdale", "orchard"]
     assert all(not rows[10 + i].terms for i in range(60))
     clean = by_id(sanitise(docs))
-    assert clean[0].text == f"{common} number0 by [NUMBER] wrote mail [EMAIL] today from [NAME] "
+    assert clean[0].text == f"{common} number0  [NUMBER] wrote mail [EMAIL] today from [NAME] "
     assert clean[10].text == texts[10]
 
 
+OTHERS = [(100 + i, f"somebody wrote mail number {i}") for i in range(60)]
+
+
+def _found(spark, rows):
+    texts = dict(rows)
+    return {i: [texts[i][t.start : t.end] for t in r.terms] for i, r in by_id(find_spans(documents(spark, rows))).items()}
+
+
+def test_short_names_are_terms(spark):
+    found = _found(spark, [(i, f"Lee Kim wrote x.y@z.org number {i}") for i in range(4)] + OTHERS)
+    assert all(found[i] == ["Lee", "Kim"] for i in range(4))
+
+
+def test_two_documents_are_enough_and_one_is_not(spark):
+    rows = [(0, "Zebulon wrote x.y@z.org"), (1, "x.y@z.org wrote Zebulon number 1"), (2, "Ignatius wrote a.b@c.org")]
+    found = _found(spark, rows + OTHERS)
+    assert found[0] == found[1] == ["Zebulon"] and found[2] == []
+
+
+def test_terms_go_wherever_they_stand(spark):
+    far = " somebody wrote mail" * 20
+    rows = [(0, f"Zebulon x.y@z.org{far} Zebulon"), (1, f"Zebulon{far} x.y@z.org 👍 zebulon"), (2, "x.y@z.org to Zebulon")]
+    rows += [(3, "👍 Zebulon wrote mail")]
+    found = _found(spark, rows + OTHERS)
+    assert found[0] == ["Zebulon"] * 2 and found[1] == ["Zebulon", "zebulon"]
+    assert found[2] == ["Zebulon"] and found[3] == ["Zebulon"]
+    clean = by_id(sanitise(documents(spark, rows + OTHERS)))
+    assert clean[3].text == "👍 [NAME] wrote mail" and clean[0].text.endswith("mail [NAME]")
+
+
 def test_numbers_do_not_end_a_context(spark):
     card = "4111 1111 1111 1111"
     near = [(i, f"Whitmore 1980 card {card} ext 12 until Larkspur {i}") for i in range(4)]
     other = [(10 + i, f"1980 card until mail {i}") for i in range(60)]
     rows = by_id(find_spans(documents(spark, near + other)))
     for i, text in near:
-        assert [text[t.start : t.end] for t in rows[i].terms] == ["Whitmore", "Larkspur"]
+        assert [text[t.start : t.end] for t in rows[i].terms] == ["Whitmore", "ext", "12", "Larkspur"]  # 12 is in one other text of 60
         assert [e.kind for e in rows[i].entities] == [2]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_terms_equal_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
+    rng = random.Random(4)
+    people = [(f"p{i}@q.org", f"Name{i}", f"Ü{i}") for i in range(8)] + [("1.2.3.4", "Al", "B2"), ("+1 (543) 555-1435", "Bo", "中")]
+    rows = []
+    for i in range(300):
+        words = rng.choices(["red", "green", "blue", "a", "of", "Lamp", f"w{rng.randint(0, 90)}"], k=rng.randint(0, 30))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            mail, *names = rng.choice(people)
+            words += [mail] * rng.choice([0, 1, 1, 1]) + names[: rng.randint(0, 2)]
+        rng.shuffle(words)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(words)))
+    rows += [(300 + i, rows[7][1]) for i in range(100)]  # a third of all rows are copies
+    rows += [(1000 + r.doc_id, r.text or "") for r in table(spark, "documents").collect()]
+    want = brute_terms(dict(rows))
+    assert sum(map(len, want.values())) > 100
+    for row in find_spans(documents(spark, rows)).collect():
+        assert [tuple(t) for t in row.terms] == want[row.doc_id], dict(rows)[row.doc_id][:200]
+
+
 def test_one_document_in_copies_reveals_nothing(spark):
     rows = [(i, "Zebulon wrote x.y@z.org") for i in range(50)]
     assert all(not r.terms for r in find_spans(documents(spark, rows)).collect())

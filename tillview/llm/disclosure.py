@@ -5,18 +5,21 @@ patterns; positions are sums of the lengths of what ``split`` leaves between mat
 patterns are possessive, and begin where a run of their characters begins, so that neither long
 runs nor many repetitions cost more than one look at each character.
 
-**Terms.** A word near an entity reveals it as far as seeing the word makes the entity likely:
-pointwise mutual information log(N n_te / (n_t n_e)), as a share of the entity's information
-content log(N / n_e). Counts are of documents: n_t of those with the word anywhere, n_e of those
-with the entity, n_te of those with the word within ``REACH`` characters of the entity, whatever
-lies between but other entities, which are blanked. Terms that
-reach ``DISCLOSURE`` and stand by the entity in ``SUPPORT`` different texts are ``term`` spans
-wherever they stand by that entity, unless they overlap an entity. In the sanitised text entities
-become their kind, terms with digits or a capital are generalised, other terms removed.
-
-Windows keep the number of (term, entity) pairs in proportion to the text. Everything about a
-text depends on the text alone, so copies are counted, not handled again; entities and texts that
-a third of all rows share are looked up by ``look_up``.
+**Terms.** Any word, of any length, reveals an entity as far as seeing the word makes the entity
+likely: pointwise mutual information log(N n_te / (n_t n_e)), as a share of the entity's
+information content log(N / n_e). Counts are of documents: n_t of those with the word, n_e of
+those with the entity, n_te of those with both, the word outside entities. Small counts are
+corrected for: all co-occurrences together, n_te times the mutual information, must be worth more
+than the log N bits that name a document, so a word of one document reveals nothing. A word whose
+mutual information reaches ``DISCLOSURE`` of the content is a ``term`` span wherever it stands in
+any document, with the entity or without, unless it overlaps an entity. In the sanitised text
+entities become their kind, terms with digits or a capital are generalised, other terms removed.
+
+**Work.** Only words of texts with entities are paired, and each only with the entities of its
+texts that a word so frequent could reveal (n_te is at most n_e, so this loses nothing). Entities of the same texts have the same counts and are paired as one, told apart by 128
+bits of hashes. Copies of a text count as documents but are handled once. Entities, words and texts
+that a third of all rows share are looked up by ``look_up``; revealing words are broadcast up to
+``BROADCAST_TERMS`` of them and joined by shuffles beyond, with the same result.
 
 Edge cases: null and empty texts have no spans; repeated ids keep one row each; offsets count
 code points, ends are exclusive.
@@ -42,13 +45,16 @@ PATTERNS = (
 )
 IP_PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IP_VALID = rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"
-WORD = r"[\p{L}\p{N}]{4,}+"
+WORD = r"[\p{L}\p{N}]++"
 
-REACH = 100
-SUPPORT = 3
 DISCLOSURE = 0.9
+#: Some 100 bytes each on an executor.
+BROADCAST_TERMS = 500_000
+#: Room for rounding in logarithms.
+CLOSE = 1e-9
 
 SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
+PLACES = "array<struct<start:int,end:int>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -89,8 +95,13 @@ def _positions(found: Column, parts: Column, kind: int) -> Column:
     return F.aggregate(zipped, none, step, lambda state: state["spans"])
 
 
-def with_entities(documents: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
-    """Adds a column of entities: kind, start, end, value and the text around it, by kind, then start."""
+def with_entities(
+    documents: DataFrame, text: str = "text", out: str = "entities", words: str | None = None
+) -> DataFrame:
+    """Adds a column of entities: kind, start, end and value, by kind, then start.
+
+    A column named by ``words`` gets the different words outside them, null without entities.
+    """
     own = F.coalesce(F.col(text), F.lit(""))
     found = documents.withColumns(
         {f"__found{k}": F.regexp_extract_all(own, F.lit(p), F.lit(0)) for k, p in enumerate(PATTERNS)}
@@ -100,10 +111,15 @@ def with_entities(documents: DataFrame, text: str = "text", out: str = "entities
         matches = F.col(f"__found{k}")
         here = F.when(F.size(matches) > 0, _positions(matches, F.split(own, pattern, -1), k))
         spans.append(_kept(here, k))
-    found = found.withColumn("__spans", F.concat(*spans))
-    found = found.withColumn("__blank", F.when(F.size("__spans") > 0, _blank(own, F.col("__spans"))))
-    around = F.transform("__spans", lambda s: _with_context(s, F.col("__blank")))
-    return found.withColumn(out, around).drop("__spans", "__blank", *(f"__found{k}" for k in range(len(PATTERNS))))
+    found = found.withColumn(out, F.concat(*spans))
+    if words is not None:
+        found = found.withColumn(words, F.when(F.size(out) > 0, _words(_blank(own, F.col(out)))))
+    return found.drop(*(f"__found{k}" for k in range(len(PATTERNS))))
+
+
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
 def _blank(text: Column, spans: Column) -> Column:
@@ -125,19 +141,6 @@ def _blank(text: Column, spans: Column) -> Column:
     )
 
 
-def _with_context(span: Column, blank: Column) -> Column:
-    """The span with ``REACH`` characters either side, without words that the reach cuts."""
-    begin = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(blank, begin + 1, span["start"] - begin)
-    # one character more tells whether the last word goes on
-    right = F.substring(blank, span["end"] + 1, F.lit(REACH + 1))
-    left = F.when(begin > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(
-        F.length(right) > REACH, F.regexp_replace(F.left(right, F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
-    ).otherwise(right)
-    return F.struct(*(span[c].alias(c) for c in ("kind", "start", "end", "value")), left.alias("left"), right.alias("right"))
-
-
 def _kept(spans: Column, kind: int) -> Column:
     return F.coalesce(F.filter(spans, lambda s: _valid(kind, s["value"])), F.array().cast(SPANS))
 
@@ -146,143 +149,163 @@ def _text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def _words_at(context: Column, at: Column) -> Column:
-    """Words of a context and their places, ``at`` being the context's own."""
-    found = F.regexp_extract_all(context, F.lit(WORD), F.lit(0))
-    parts = F.split(context, WORD, -1)
-    zipped = F.transform(
-        F.arrays_zip(found.alias("w"), F.slice(parts, F.lit(1), F.size(found)).alias("b")),
-        lambda z: F.struct(z["w"].alias("w"), z["b"].alias("b")),
+def _places(text: Column, at: Column) -> Column:
+    """Places of the words whose numbers ``at`` lists in ascending order.
+
+    Each step adds up the lengths between two of them, so a text is walked once.
+    """
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    lengths = F.zip_with(
+        found,
+        F.slice(F.split(text, WORD, -1), F.lit(1), F.size(found)),
+        lambda w, before: F.struct((F.length(before) + F.length(w)).alias("step"), F.length(w).alias("word")),
     )
-    kind = "array<struct<term:string,start:int,end:int>>"
 
-    def step(state: Column, z: Column) -> Column:
-        start = state["at"] + F.length(z["b"])
-        end = start + F.length(z["w"])
-        word = F.struct(F.lower(z["w"]).alias("term"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["words"], F.array(word)).alias("words"))
+    def step(state: Column, i: Column) -> Column:
+        passed = F.slice(state["lengths"], state["next"] + 1, i + 1 - state["next"])
+        end = F.aggregate(passed, state["at"], lambda so_far, x: so_far + x["step"])
+        place = F.struct((end - F.get(state["lengths"], i)["word"]).alias("start"), end.alias("end"))
+        return F.struct(
+            end.alias("at"),
+            (i + 1).alias("next"),
+            state["lengths"].alias("lengths"),
+            F.concat(state["places"], F.array(place)).alias("places"),
+        )
 
-    none = F.struct(at.alias("at"), F.array().cast(kind).alias("words"))
-    return F.aggregate(zipped, none, step, lambda state: state["words"])
+    none = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("next"), lengths.alias("lengths"), F.array().cast(PLACES).alias("places")
+    )
+    return F.aggregate(at, none, step, lambda state: state["places"])
 
 
-def _entity(span: str) -> Column:
+def _entity(span: Column) -> Column:
     """Kind and value, without what does not matter in it."""
-    value = F.col(f"{span}.value")
-    plain = F.when(F.col(f"{span}.kind") < 2, F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
-    return F.concat_ws(":", F.col(f"{span}.kind").cast("string"), plain)
+    value = span["value"]
+    plain = F.when(span["kind"] < 2, F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
+    return F.concat_ws(":", span["kind"].cast("string"), plain)
 
 
 def revealing_terms(documents: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
-    """text_key and terms, the places of terms to sanitise, for texts that have some.
+    """term and n_t of the words that reveal an entity.
 
-    ``texts`` holds text_key, copies and entities of every different text with entities.
+    ``texts`` holds text_key, copies, entities and words of every different text with entities.
     """
-    mentions = texts.select("text_key", "copies", F.explode("entities").alias("span"))
-    mentions = mentions.withColumn("entity", _entity("span"))
-    entities = (
-        mentions.select("entity", "text_key", "copies")
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count("*").alias("texts"), F.sum("copies").alias("n_e"))
-        .where(F.col("texts") >= SUPPORT)
+    total = documents.count()
+    all_documents = F.lit(float(max(total, 2)))
+
+    def most(n_e: Column) -> Column:
+        """How many documents a word may be in and still reveal an entity of n_e documents."""
+        return n_e * F.pow(all_documents / n_e, F.lit(1 - DISCLOSURE)) * (1 + CLOSE)
+
+    mentions = texts.select(
+        "text_key", "copies", F.explode(F.array_distinct(F.transform("entities", _entity))).alias("entity")
+    )
+    places = (F.bit_xor(F.xxhash64(F.lit(seed), "text_key")).cast("string") for seed in (1, 2))
+    entities = stage(
+        mentions.groupBy("entity")
+        .agg(F.sum("copies").alias("n_e"), F.count("*").alias("count"), F.concat_ws(":", *places).alias("class"))
+        .where((F.col("n_e") > 1) & (F.col("n_e") < total)),
+        "disclosure-entities",
     )
-    entities = stage(entities, "disclosure-entities")
+    widest = entities.agg(F.max(most(F.col("n_e")))).first()[0] or 0.0
     repeated = look_up(
-        mentions, entities.select("entity", "n_e"), "entity", "inner",
-        entities.select("entity", F.col("texts").alias("count")),
-    )
-    around = F.concat(
-        _words_at(F.col("span.left"), F.col("span.start") - F.length("span.left")),
-        _words_at(F.col("span.right"), F.col("span.end")),
+        mentions, entities.select("entity", "n_e", "class"), "entity", "inner", entities.select("entity", "count")
     )
-    near = repeated.select("text_key", "copies", "entity", "n_e", F.explode(around).alias("word")).select(
-        "text_key", "copies", "n_e", "word.*", F.xxhash64("entity", "word.term").alias("pair")
+    classes = repeated.groupBy("text_key", "copies").agg(F.collect_set(F.struct("n_e", "class")).alias("classes"))
+    vocabulary = stage(
+        documents.select(F.explode(_words(F.col(text))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("n_t"))
+        .where((F.col("n_t") > 1) & (F.col("n_t") <= widest)),
+        "disclosure-vocabulary",
     )
-    near = stage(near.distinct(), "disclosure-near")
+    held = look_up(texts.select("text_key", F.explode("words").alias("term")), vocabulary, "term", "inner")
+    possible = F.filter("classes", lambda c: F.col("n_t") <= most(c["n_e"]))
     pairs = (
-        near.select("pair", "term", "n_e", "text_key", "copies")
-        .distinct()
-        .groupBy("pair", "term", "n_e")
-        .agg(F.count("*").alias("texts"), F.sum("copies").alias("n_te"))
-        .where(F.col("texts") >= SUPPORT)
+        held.join(classes, "text_key")
+        .select("term", "n_t", "copies", F.explode(possible).alias("of"))
+        .groupBy("term", "n_t", "of")
+        .agg(F.sum("copies").alias("n_te"))
+        .where("n_te > 1")
     )
-    pairs = stage(pairs, "disclosure-pairs")
-    total = documents.count()
-    terms = (
-        documents.select(
-            F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))).alias("term")
-        )
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
+    content = F.log2(all_documents / F.col("of.n_e"))
+    likely = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
+    information = F.log2(all_documents * likely / F.col("of.n_e"))
+    enough = (information >= DISCLOSURE * content - CLOSE) & (
+        F.col("n_te") * information > F.log2(all_documents) + CLOSE
     )
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    information = F.log2(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    revealing = pairs.join(terms, "term").where((content > 0) & (information >= DISCLOSURE * content))
-    revealing = stage(revealing.select("pair", F.col("texts").alias("count")), "disclosure-revealing")
-    places = look_up(near, revealing.select("pair"), "pair", "inner", revealing)
-    return places.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-
-
-def find_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, entities and terms (start and end) of every document."""
-    found = with_entities(documents.select(key, text), text).select(
-        key, F.when(F.size("entities") > 0, _text_key(text)).alias("text_key"), "entities"
+    return stage(pairs.where(enough).select("term", "n_t").distinct(), "disclosure-revealing")
+
+
+def places_of_terms(documents: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """text_key, places (numbers of words) and copies of every different text that holds a term."""
+    words = documents.select(
+        _text_key(text).alias("text_key"),
+        F.posexplode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("place", "word"),
+    ).select("text_key", "place", F.lower("word").alias("term"))
+    if terms.count() <= BROADCAST_TERMS:
+        found = words.join(F.broadcast(terms.select("term")), "term")
+    else:
+        counts = terms.select("term", F.col("n_t").alias("count"))
+        found = look_up(words, terms.select("term"), "term", "inner", counts)
+    # copies add up before a text's rows meet
+    by_place = found.groupBy("text_key", "place").agg(F.count("*").alias("count"))
+    return by_place.groupBy("text_key").agg(
+        F.sort_array(F.collect_list("place")).alias("places"), F.max("count").alias("count")
     )
-    found = stage(found, "disclosure-entities-of")
-    texts = stage(_texts(found), "disclosure-texts")
-    terms = stage(revealing_terms(documents, texts, text), "disclosure-terms")
-    rows = look_up(found, terms, "text_key", "left", texts.select("text_key", F.col("copies").alias("count")))
-    return rows.select(key, "entities", _apart("entities", "terms").alias("terms"))
 
 
-def _texts(found: DataFrame) -> DataFrame:
+def _texts(documents: DataFrame, text: str) -> DataFrame:
+    """text_key, copies, entities and words of every different text with entities."""
+    found = with_entities(documents.select(text), text, "entities", "words").where(F.size("entities") > 0)
     return (
-        found.where("text_key is not null")
+        found.select(_text_key(text).alias("text_key"), "entities", "words")
         .groupBy("text_key")
-        .agg(F.count("*").alias("copies"), F.any_value("entities").alias("entities"))
+        .agg(F.count("*").alias("copies"), F.any_value("entities").alias("entities"), F.any_value("words").alias("words"))
     )
 
 
-def _apart(entities: str, terms: str) -> Column:
+def with_spans(documents: DataFrame, text: str = "text", entities: str = "entities", terms: str = "terms") -> DataFrame:
+    """Adds the columns ``entities`` and ``terms`` (start and end, none that overlaps an entity)."""
+    columns = documents.columns
+    texts = stage(_texts(documents, text), "disclosure-texts")
+    hits = stage(places_of_terms(documents, revealing_terms(documents, texts, text), text), "disclosure-places")
+    marked = documents.select(*columns, _text_key(text).alias("__text_key"))
+    renamed = hits.select(F.col("text_key").alias("__text_key"), F.col("places").alias("__places"))
+    counts = hits.select(F.col("text_key").alias("__text_key"), "count")
+    rows = with_entities(look_up(marked, renamed, "__text_key", "left", counts), text, entities)
+    own = F.when(F.col("__places").isNotNull(), _places(F.col(text), F.col("__places")))
+    return rows.withColumn(terms, _apart(F.col(entities), own)).drop("__text_key", "__places")
+
+
+def find_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, entities and terms (start and end) of every document."""
+    return with_spans(documents.select(key, text), text).select(key, "entities", "terms")
+
+
+def _apart(entities: Column, terms: Column) -> Column:
     """Terms that overlap no entity."""
     clear = F.filter(
-        F.col(terms),
-        lambda t: ~F.exists(F.col(entities), lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])),
+        terms,
+        lambda t: ~F.exists(entities, lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])),
     )
-    return F.coalesce(clear, F.array().cast("array<struct<start:int,end:int>>"))
+    return F.coalesce(clear, F.array().cast(PLACES))
 
 
-def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(documents: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``documents``, with entities and revealing terms taken out of the text.
 
     Overlapping spans make one gap, named after the first kind listed. A null text stays null.
     """
-    columns = documents.columns
-    found = with_entities(documents.select(key, text), text)
-    texts = stage(
-        _texts(found.where(F.size("entities") > 0).select(_text_key(text).alias("text_key"), "entities")),
-        "disclosure-texts",
-    )
-    terms = stage(revealing_terms(documents, texts, text), "disclosure-terms")
-    # only texts that have terms look them up
-    marked = documents.select(*columns, _text_key(text).alias("__text_key"))
-    counts = terms.join(texts.select("text_key", "copies"), "text_key").select(
-        F.col("text_key").alias("__text_key"), F.col("copies").alias("count")
-    )
-    renamed = terms.select(F.col("text_key").alias("__text_key"), F.col("terms").alias("__terms"))
-    spanned = with_entities(look_up(marked, renamed, "__text_key", "left", counts), text, "__entities")
+    spanned = with_spans(documents, text, "__entities", "__terms")
     cuts = F.array_sort(
         F.concat(
             F.transform("__entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"))),
-            F.transform(
-                _apart("__entities", "__terms"),
-                lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(TERM).alias("kind")),
-            ),
+            F.transform("__terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(TERM).alias("kind"))),
         )
     )
     return spanned.withColumn(text, F.when(F.size(cuts) > 0, _cut(F.col(text), cuts)).otherwise(F.col(text))).select(
-        *columns
+        *documents.columns
     )
 
 
