@@ -18,8 +18,9 @@ entities become their kind, terms with digits or a capital are generalised, othe
 **Work.** Only words of texts with entities are paired, and each only with the entities of its
 texts that a word so frequent could reveal (n_te is at most n_e, so this loses nothing). Entities of the same texts have the same counts and are paired as one, told apart by 128
 bits of hashes. Copies of a text count as documents but are handled once. Entities, words and texts
-that a third of all rows share are looked up by ``look_up``; revealing words are broadcast up to
-``BROADCAST_TERMS`` of them and joined by shuffles beyond, with the same result.
+that a third of all rows share are looked up by ``look_up``; revealing words, and the keys of the
+texts that hold some, are broadcast up to ``BROADCAST_TERMS`` of them and joined by shuffles beyond,
+with the same result.
 
 Edge cases: null and empty texts have no spans; repeated ids keep one row each; offsets count
 code points, ends are exclusive.
@@ -267,10 +268,15 @@ def _texts(documents: DataFrame, text: str) -> DataFrame:
 
 def with_spans(documents: DataFrame, text: str = "text", entities: str = "entities", terms: str = "terms") -> DataFrame:
     """Adds the columns ``entities`` and ``terms`` (start and end, none that overlaps an entity)."""
-    columns = documents.columns
     texts = stage(_texts(documents, text), "disclosure-texts")
     hits = stage(places_of_terms(documents, revealing_terms(documents, texts, text), text), "disclosure-places")
-    marked = documents.select(*columns, _text_key(text).alias("__text_key"))
+    own_key = _text_key(text)
+    if hits.count() <= BROADCAST_TERMS:
+        # texts without terms stay where they are
+        keys = F.broadcast(hits.select(F.col("text_key").alias("__text_key")))
+        marked = documents.join(keys, own_key == F.col("__text_key"), "left")
+    else:
+        marked = documents.withColumn("__text_key", own_key)
     renamed = hits.select(F.col("text_key").alias("__text_key"), F.col("places").alias("__places"))
     counts = hits.select(F.col("text_key").alias("__text_key"), "count")
     rows = with_entities(look_up(marked, renamed, "__text_key", "left", counts), text, entities)
