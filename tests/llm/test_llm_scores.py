@@ -1,8 +1,12 @@
 """Classifiers: accuracy on held-out rows, folds, and independence of everything but the text."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import table
 from pyspark.sql import functions as F
@@ -68,13 +72,65 @@ def test_discriminant_is_the_log_density_difference(spark):
     assert np.allclose(model.score(x), want, atol=1e-8)
 
 
-def test_kneser_ney_probabilities_add_up():
-    ordinary = {(0, 1): 3, (0, 2): 1, (1, 2): 2}
-    types = np.array([0.0, 1, 2])
-    share = np.array([0.2, 0.3, 0.5])
-    d = toxicity._discount((types == 1).sum(), (types == 2).sum())
-    p = (np.maximum(types - d, 0) + d * (types > 0).sum() * share) / types.sum()
-    assert np.isclose(p.sum(), 1)
-    d = 0.5
-    row = np.array([max(ordinary.get((0, w), 0) - d, 0) for w in range(3)]) / 4 + d * 2 / 4 * p
-    assert np.isclose(row.sum(), 1)
+def _plain_ratios(texts):
+    """Log ratios of every word in its place, by dictionaries; labels None for texts that only the corpus counts."""
+    cut = [(re.findall(r"[0-9_a-z]+", text.lower()), label) for text, label in texts]
+    corpus = Counter(w for found, _ in cut for w in found)
+    pairs = [Counter(), Counter()]
+    for found, label in cut:
+        if label is not None:
+            pairs[label].update(zip([None, *found], found))
+
+    def probability(history, word, of):
+        def discount(values):
+            values = list(values)
+            once, twice = values.count(1), values.count(2)
+            return once / (once + 2 * twice) if once else 0.5
+
+        types = Counter(w for _, w in of)
+        d = discount(types.values())
+        share = (corpus[word] + 0.5) / (sum(corpus.values()) + 0.5 * len(corpus))
+        p = (max(types[word] - d, 0) + d * len(types) * share) / len(of)
+        after = [n for (h, _), n in of.items() if h == history]
+        if not after:
+            return p
+        d = discount(of.values())
+        return (max(of[history, word] - d, 0) + d * len(after) * p) / sum(after)
+
+    return [
+        [math.log(probability(h, w, pairs[1]) / probability(h, w, pairs[0])) for h, w in zip([None, *found], found)]
+        for found, _ in cut
+    ]
+
+
+def test_ratios_against_plain_kneser_ney(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = 1 / np.arange(1, 61)
+    texts = []
+    for i in range(60):
+        label = [0, 1, None][i % 3]
+        tilt = weights[::-1] if label == 1 else weights
+        found = rng.choice(vocabulary, size=rng.integers(0, 25), p=(weights + tilt) / (weights + tilt).sum())
+        texts.append((" ".join([*found, f"Once{i}"]), label))
+    df = spark.createDataFrame([(t, -1 if y is None else y) for t, y in texts], "text string, counted int")
+    model = toxicity.fit(toxicity.count_words(df.repartition(3)))
+    singles = [w for t, _ in texts for w in t.split()].count("Once1")
+    assert singles == 1
+    batch = pa.array([t for t, _ in texts])
+    for _, _, rows, word, history in toxicity.word_keys(batch):
+        got, _ = model.ratios(word, history)
+    want = _plain_ratios(texts)
+    assert np.allclose(got, np.concatenate(want), atol=1e-5)
+    assert [int(n) for n in np.bincount(rows, minlength=len(texts))] == [len(x) for x in want]
+
+
+def test_sample_of_labels_keeps_its_bounds(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i == 7 else 10)) for i in range(100)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(120)], "label_key long, label int")
+    all_rows = toxicity.sample_labels(docs, known, 1000, 6000).collect()
+    assert sorted(r.label_key for r in all_rows) == list(range(100))
+    some = {r.label_key for r in toxicity.sample_labels(docs, known, 1000, 640).collect()}
+    assert len(some) == 64 and 7 not in some
+    again = {r.label_key for r in toxicity.sample_labels(docs.repartition(5), known, 1000, 640).collect()}
+    assert some == again

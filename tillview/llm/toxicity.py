@@ -3,17 +3,22 @@
 A toxic and an ordinary model give every word a probability after the word before it:
 discounted counts of the pair, then the class's continuation counts of the word, then the
 word's share of the whole corpus, which both classes share. Rare words therefore say little
-about the class. Words are hashed to ``WORD_SLOTS`` slots, words before them to
-``HISTORY_SLOTS`` classes; pairs rarer than one in ``PAIR_SLOTS`` of all counted pairs fall
-back to the lower orders. These three numbers, not the corpus, bound what is broadcast.
-
-Counts come from all documents (shared level) and from labelled ones (class levels). A text's
-evidence is the length-normalised difference of its log-likelihoods, the same of strong words
-alone (more than ``STRONG`` nats each), their sum and its length. A logistic function of these,
-fitted on a quarter of the labelled rows that the counts leave out, turns them into a score.
-
-At most ``LABELLED_ROWS`` labelled rows are used, picked by a hash of their id, so that ids and
-labels can be broadcast to the texts: about 16 bytes each. Texts are never shuffled.
+about the class. Words and pairs are told apart by 64-bit hashes; every pair and every word
+that was counted stays in the model, those seen once included.
+
+The shared level counts the words of all documents, in a table that is grouped and joined and
+never leaves the executors. The class levels are fitted on a sample: labelled rows in the order
+of a hash of their id, at most ``LABELLED_ROWS`` of them with texts of at most
+``LABELLED_BYTES`` bytes together; texts above a 64th of that come last. These two numbers bound
+what is broadcast: ids and labels, and a ratio for each word, word before and pair of the
+sample (fewer than half as many of each as bytes).
+
+A text's evidence is the length-normalised difference of its log-likelihoods; of its strong words
+(more than ``STRONG`` nats by continuation counts, the level that pairs back off to) the mean and
+the sum of what exceeds that; and its length. Pairs seen once carry large ratios of either sign, so
+strong ones among them say little. A logistic function of these, fitted on a quarter of the
+sample that the counts leave out, turns them into a score.
+Texts are never shuffled.
 
 Edge cases: null texts count as empty and get the score of no evidence; repeated ids keep one
 row each. Without both classes among the labels the score is their mean (0.5 without labels).
@@ -27,88 +32,115 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillview.llm.arrays import slices, words
+from tillview.llm.arrays import BASE, mix, slices, words
 from tillview.llm.labelled import one_label, remainder
 from tillview.sources.staging import stage
 
-WORD_SLOTS = 1 << 20
-HISTORY_SLOTS = 1 << 12
-PAIR_SLOTS = 1 << 20
 LABELLED_ROWS = 1_000_000
+LABELLED_BYTES = 1 << 26
 STRONG = 2.5
 CALIBRATION_FOLDS = 4
+CLASSES = ("ordinary", "toxic")
 
-#: A key is a word slot and a history class; this class stands for the whole corpus.
-CORPUS = HISTORY_SLOTS
-KEY_BASE = 2 * HISTORY_SLOTS
-FLUSH_KEYS = 1 << 20
+#: What stands before the first word of a text.
+START = 0
+FLUSH_WORDS = 1 << 21
 
 
 def word_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, row count, and row, word slot and history class of every word."""
+    """First row, row count, and row, hash and hash of the word before of every word."""
     for row, data, at in slices(pc.utf8_lower(column)):
         _, _, rows, hashes = words(data, at)
-        word = (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
-        history = np.full(len(word), HISTORY_SLOTS - 1, dtype=np.int64)
+        word = hashes.view(np.int64)
+        history = np.full(len(word), START, dtype=np.int64)
         if len(word):
-            before = (hashes[:-1] >> np.uint64(40)) % np.uint64(HISTORY_SLOTS - 1)
-            history[1:] = np.where(rows[1:] == rows[:-1], before.astype(np.int64), HISTORY_SLOTS - 1)
+            history[1:] = np.where(rows[1:] == rows[:-1], word[:-1], START)
         yield row, len(at) - 1, rows, word, history
 
 
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(history.view(np.uint64) * np.uint64(BASE) + word.view(np.uint64))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one task: rows of (key, ordinary, toxic, corpus)."""
-    corpus = np.zeros(WORD_SLOTS, dtype=np.int64)
-    keys: list[np.ndarray] = []
+    """Sums of one task: rows of (history, word, ordinary, toxic, corpus); corpus rows have no history."""
+    every: list[np.ndarray] = []
+    known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
 
-    def flush() -> pa.RecordBatch:
-        coded, counts = np.unique(np.concatenate(keys), return_counts=True)
-        toxic = (coded & 1).astype(bool)
-        return _rows(coded >> 1, np.where(toxic, 0, counts), np.where(toxic, counts, 0), 0 * counts)
+    def flush() -> Iterator[pa.RecordBatch]:
+        if every:
+            word, counts = np.unique(np.concatenate(every), return_counts=True)
+            yield _rows(pa.nulls(len(word), pa.int64()), word, 0 * counts, 0 * counts, counts)
+        if known:
+            history, word, label = (np.concatenate(part) for part in zip(*known, strict=True))
+            _, first, which = np.unique(pair_keys(history, word), return_index=True, return_inverse=True)
+            both = np.bincount(which)
+            toxic = np.bincount(which, weights=label).astype(np.int64)
+            yield _rows(pa.array(history[first]), word[first], both - toxic, toxic, 0 * both)
 
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for row, count, rows, word, history in word_keys(batch.column(0)):
-            corpus += np.bincount(word, minlength=WORD_SLOTS)
+            every.append(word)
             own = label[row : row + count][rows]
-            known = own >= 0
-            if known.any():
-                keys.append((word[known] * KEY_BASE + history[known]) * 2 + (own[known] > 0))
-                held += len(keys[-1])
-                if held >= FLUSH_KEYS:
-                    yield flush()
-                    keys, held = [], 0
-    if keys:
-        yield flush()
-    seen = np.flatnonzero(corpus)
-    yield _rows(seen * KEY_BASE + CORPUS, 0 * seen, 0 * seen, corpus[seen])
-
-
-def _rows(keys, ordinary, toxic, corpus) -> pa.RecordBatch:
+            counted = own >= 0
+            if counted.any():
+                known.append((history[counted], word[counted], own[counted]))
+            held += len(word)
+            if held >= FLUSH_WORDS:
+                yield from flush()
+                every, known, held = [], [], 0
+    yield from flush()
+
+
+def _rows(history: pa.Array, word, ordinary, toxic, corpus) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(x.astype(np.int64)) for x in (keys, ordinary, toxic, corpus)],
-        ["key", "ordinary", "toxic", "corpus"],
+        [history, *(pa.array(x.astype(np.int64)) for x in (word, ordinary, toxic, corpus))],
+        ["history", "word", *CLASSES, "corpus"],
+    )
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """Counts of every pair by class and of every word of the corpus, from (text, class or -1)."""
+    return (
+        texts.mapInArrow(_count_words, "history long, word long, ordinary long, toxic long, corpus long")
+        .groupBy("history", "word")
+        .agg(*(F.sum(c).alias(c) for c in (*CLASSES, "corpus")))
     )
 
 
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of sorted keys, NaN for others."""
+    one, which = np.unique(wanted, return_inverse=True)
+    place = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
+    return np.where(keys[place] == one, values[place], np.nan)[which]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log ratios toxic to ordinary: of backoff weights by history, of words, and of pairs."""
+    """Log ratios toxic to ordinary of words, of backoff weights of words before and of pairs, by
+    sorted keys; and that of a word the sample lacks, which is the same for all."""
 
-    history: np.ndarray
+    word_keys: np.ndarray
     word: np.ndarray
+    history_keys: np.ndarray
+    history: np.ndarray
     pair_keys: np.ndarray
     pair: np.ndarray
+    unseen: float
 
-    def ratios(self, word: np.ndarray, history: np.ndarray) -> np.ndarray:
-        keys = word * KEY_BASE + history
-        place = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        back = self.word[word] + self.history[history]
-        return np.where(self.pair_keys[place] == keys, self.pair[place], back)
+    def ratios(self, word: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of words after the word before them, and of words by continuation counts alone."""
+        if not len(word):
+            return np.zeros(0), np.zeros(0)
+        pair = _find(self.pair_keys, self.pair, pair_keys(history, word))
+        alone = np.nan_to_num(_find(self.word_keys, self.word, word), nan=self.unseen)
+        back = np.nan_to_num(_find(self.history_keys, self.history, history), nan=0.0)
+        return np.where(np.isnan(pair), alone + back, pair), alone
 
 
 def _discount(once: float, twice: float) -> float:
@@ -120,63 +152,56 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
     return {name: table[name].to_numpy() for name in table.column_names}
 
 
+def _many(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def _totals(df: DataFrame, *more: Column) -> dict[str, float]:
+    """Sums of both classes, and how many rows have 1, 2 and any."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]
+    ones = [_many(F.col(c) == k).alias(f"{c}_{k}") for c in CLASSES for k in (1, 2)]
+    return df.agg(*sums, *ones, *(_many(F.col(c) > 0).alias(f"{c}_any") for c in CLASSES), *more).first().asDict()
+
+
 def fit(counts: DataFrame) -> Model | None:
     """The model of summed ``counts``; None if a class has no words.
 
-    Driver: a row per word slot, per history class and per frequent pair, all bounded by constants.
+    The ratios are computed by joins. Driver: one number for each word, word before and pair of
+    the sample, which its bytes bound.
     """
-    pairs = counts.where(F.col("key") % KEY_BASE != CORPUS)
-    classes = ("ordinary", "toxic")
-
-    def many(condition: Column) -> Column:
-        return F.count(F.when(condition, 1))
-
-    total = pairs.agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes),
-        *(many(F.col(c) == k).alias(f"{c}_{k}") for c in classes for k in (1, 2)),
-    ).first()
-    if not (total["ordinary"] and total["toxic"]):
+    pairs = counts.where("history is not null")
+    of_pairs = _totals(pairs)
+    if not all(of_pairs[c] for c in CLASSES):
         return None
-    by_word = _columns(
-        counts.groupBy((F.col("key") / KEY_BASE).cast("long").alias("word")).agg(
-            F.sum("corpus").alias("corpus"), *(many(F.col(c) > 0).alias(c) for c in classes)
-        )
-    )
-    by_history = _columns(
-        pairs.groupBy((F.col("key") % KEY_BASE).alias("history")).agg(
-            *(F.sum(c).alias(c) for c in classes), *(many(F.col(c) > 0).alias(f"{c}_types") for c in classes)
-        )
-    )
-    least = max(2, -(-(total["ordinary"] + total["toxic"]) // PAIR_SLOTS))
-    frequent = _columns(pairs.where(F.col("ordinary") + F.col("toxic") >= least).select("key", *classes))
-
-    share = np.full(WORD_SLOTS, 0.5)
-    share[by_word["word"]] += by_word["corpus"]
-    share /= share.sum()
-    order = np.argsort(frequent["key"])
-    keys = frequent["key"][order]
-    word, history = keys // KEY_BASE, keys % KEY_BASE
-    of_word, of_history, of_pair = [], [], []
-    for c in classes:
-        types = np.zeros(WORD_SLOTS)
-        types[by_word["word"]] = by_word[c]
-        d = _discount((types == 1).sum(), (types == 2).sum())
-        p = (np.maximum(types - d, 0) + d * (types > 0).sum() * share) / types.sum()
-        d = _discount(total[f"{c}_1"], total[f"{c}_2"])
-        sums, follow = np.zeros(HISTORY_SLOTS), np.zeros(HISTORY_SLOTS)
-        sums[by_history["history"]] = by_history[c]
-        follow[by_history["history"]] = by_history[f"{c}_types"]
-        back = np.where(sums > 0, d * follow / np.maximum(sums, 1), 1.0)
-        of_word.append(p)
-        of_history.append(back)
-        of_pair.append(np.maximum(frequent[c][order] - d, 0) / np.maximum(sums[history], 1) + back[history] * p[word])
-
-    def ratio(of: list[np.ndarray]) -> np.ndarray:
-        return (np.log(of[1]) - np.log(of[0])).astype(np.float32)
-
-    if not len(keys):
-        return Model(ratio(of_history), ratio(of_word), np.array([-1]), np.zeros(1, dtype=np.float32))
-    return Model(ratio(of_history), ratio(of_word), keys, ratio(of_pair))
+    by_word = counts.groupBy("word").agg(F.sum("corpus").alias("corpus"), *(_many(F.col(c) > 0).alias(c) for c in CLASSES))
+    of_words = _totals(by_word, F.sum("corpus").alias("corpus"), F.count("*").alias("types"))
+    share = (F.col("corpus") + 0.5) / (of_words["corpus"] + 0.5 * of_words["types"])
+    alone, back, both, unseen = [], [], [], []
+    for c in CLASSES:
+        d = _discount(of_words[f"{c}_1"], of_words[f"{c}_2"])
+        rest = d * of_words[f"{c}_any"] / of_words[c]
+        unseen.append(rest)
+        alone.append((F.greatest(F.col(c) - d, F.lit(0.0)) / of_words[c] + rest * share).alias(f"{c}_alone"))
+        d = _discount(of_pairs[f"{c}_1"], of_pairs[f"{c}_2"])
+        sums, types = F.sum(c), _many(F.col(c) > 0)
+        back.append(F.when(sums > 0, d * types / sums).otherwise(1.0).alias(f"{c}_back"))
+        back.append(F.greatest(sums, F.lit(1)).alias(f"{c}_sum"))
+        kept = F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"{c}_sum")
+        both.append(kept + F.col(f"{c}_back") * F.col(f"{c}_alone"))
+    of_word = by_word.where("ordinary + toxic > 0").select("word", *alone)
+    of_history = pairs.groupBy("history").agg(*back)
+    of_pair = pairs.join(of_word, "word").join(of_history, "history")
+
+    def ratio(over: Column, under: Column) -> Column:
+        return F.log(over / under).cast("float").alias("ratio")
+
+    pair = _columns(of_pair.select("history", "word", ratio(both[1], both[0])))
+    word = _columns(of_word.select("word", ratio(F.col("toxic_alone"), F.col("ordinary_alone"))))
+    history = _columns(of_history.select("history", ratio(F.col("toxic_back"), F.col("ordinary_back"))))
+    parts = [(word["word"], word["ratio"]), (history["history"], history["ratio"])]
+    parts.append((pair_keys(pair["history"], pair["word"]), pair["ratio"]))
+    ordered = [x[order] for keys, values in parts for order in [np.argsort(keys)] for x in (keys, values)]
+    return Model(*ordered, float(np.log(unseen[1] / unseen[0])))
 
 
 def with_evidence(documents: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
@@ -190,11 +215,11 @@ def with_evidence(documents: DataFrame, model: Model, keep: list[str], text: str
         for batch in batches:
             n, total, strong = (np.zeros(len(batch)) for _ in range(3))
             for row, count, rows, word, history in word_keys(batch.column(len(keep))):
-                ratios = shared.value.ratios(word, history)
+                ratios, alone = shared.value.ratios(word, history)
                 to = slice(row, row + count)
                 n[to] = np.bincount(rows, minlength=count)
                 total[to] = np.bincount(rows, weights=ratios, minlength=count)
-                strong[to] = np.bincount(rows, weights=np.maximum(ratios - STRONG, 0), minlength=count)
+                strong[to] = np.bincount(rows, weights=np.maximum(alone - STRONG, 0), minlength=count)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], *map(pa.array, (n, total, strong))], [*keep, "n", "total", "strong"]
             )
@@ -220,6 +245,29 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 6
     return np.concatenate([[w[0] - (w[1:] * centre / scale).sum()], w[1:] / scale])
 
 
+def sample_labels(
+    documents: DataFrame, known: DataFrame, rows: int, size: int, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Labels of the rows to fit on: in hash order, at most ``rows``, their texts at most ``size`` bytes.
+
+    Texts of more than a 64th of ``size`` come after all others. Ids without a document go.
+    """
+    total = known.count()
+    if total > rows:
+        share = int(rows / total * 0.99 * (1 << 30))
+        known = known.where(F.pmod(F.xxhash64("label_key"), F.lit(1 << 30)) < share)
+    sizes = (
+        documents.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("label_bytes"))
+        .join(F.broadcast(known), F.col(key) == F.col("label_key"))
+        .groupBy("label_key", "label")
+        .agg(F.sum("label_bytes").alias("label_bytes"))
+    )
+    sizes = stage(sizes, "toxicity-sizes")
+    order = Window.orderBy(F.col("label_bytes") > size // 64, F.xxhash64("label_key"), "label_key")
+    running = F.sum("label_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.withColumn("label_upto", running).where(F.col("label_upto") <= size).select("label_key", "label")
+
+
 def score_toxicity(
     documents: DataFrame,
     labels: DataFrame,
@@ -227,6 +275,7 @@ def score_toxicity(
     held_out: int = 0,
     threshold: float = 0.5,
     labelled_rows: int = LABELLED_ROWS,
+    labelled_bytes: int = LABELLED_BYTES,
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
@@ -236,23 +285,14 @@ def score_toxicity(
     Learns from labelled documents outside fold ``held_out`` only.
     """
     known = one_label(labels, key, label).where(remainder("label_key", folds) != held_out)
-    total = known.count()
-    if total > labelled_rows:
-        share = int(labelled_rows / total * 0.99 * (1 << 30))
-        known = known.where(F.pmod(F.xxhash64("label_key"), F.lit(1 << 30)) < share)
+    known = stage(sample_labels(documents, known, labelled_rows, labelled_bytes, key, text), "toxicity-labels")
     out = [F.col(key), (remainder(key, folds) == held_out).alias("held_out")]
     joined = documents.select(key, text).join(F.broadcast(known), F.col(key) == F.col("label_key"), "left")
     aside = F.pmod(F.xxhash64(key, F.lit("calibrate")), F.lit(CALIBRATION_FOLDS)) == 0
     parts = joined.select(
         key, text, "label", F.when(F.col("label").isNotNull() & ~aside, F.col("label")).otherwise(-1).alias("counted")
     )
-    counts = stage(
-        parts.select(text, "counted")
-        .mapInArrow(_count_words, "key long, ordinary long, toxic long, corpus long")
-        .groupBy("key")
-        .agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic", "corpus"))),
-        "toxicity-counts",
-    )
+    counts = stage(count_words(parts.select(text, "counted")), "toxicity-counts")
     model = fit(counts)
     if model is None:
         mean = known.agg(F.avg("label")).first()[0]
