@@ -50,6 +50,10 @@ START = 0
 FLUSH_WORDS = 1 << 21
 
 
+def _many(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
 def word_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """First row, row count, and row, hash and hash of the word before of every word."""
     for row, data, at in slices(pc.utf8_lower(column)):
@@ -66,7 +70,10 @@ def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one task: rows of (history, word, ordinary, toxic, corpus); corpus rows have no history."""
+    """Sums of one task: rows of (history, word, ordinary, toxic, corpus).
+
+    Words of the corpus are rows too, with themselves as history and no class counts.
+    """
     every: list[np.ndarray] = []
     known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
@@ -74,13 +81,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         if every:
             word, counts = np.unique(np.concatenate(every), return_counts=True)
-            yield _rows(pa.nulls(len(word), pa.int64()), word, 0 * counts, 0 * counts, counts)
+            yield _rows(word, word, 0 * counts, 0 * counts, counts)
         if known:
             history, word, label = (np.concatenate(part) for part in zip(*known, strict=True))
             _, first, which = np.unique(pair_keys(history, word), return_index=True, return_inverse=True)
             both = np.bincount(which)
             toxic = np.bincount(which, weights=label).astype(np.int64)
-            yield _rows(pa.array(history[first]), word[first], both - toxic, toxic, 0 * both)
+            yield _rows(history[first], word[first], both - toxic, toxic, 0 * both)
 
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
@@ -97,20 +104,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _rows(history: pa.Array, word, ordinary, toxic, corpus) -> pa.RecordBatch:
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [history, *(pa.array(x.astype(np.int64)) for x in (word, ordinary, toxic, corpus))],
-        ["history", "word", *CLASSES, "corpus"],
+        [pa.array(x.astype(np.int64)) for x in columns], ["history", "word", *CLASSES, "corpus"]
     )
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """Counts of every pair by class and of every word of the corpus, from (text, class or -1)."""
-    return (
-        texts.mapInArrow(_count_words, "history long, word long, ordinary long, toxic long, corpus long")
+    """Counts of every pair by class and of every word of the corpus, from (text, class or -1).
+
+    With each pair stand the sums and numbers of pairs of its history: all rows of a history meet
+    in one shuffle, already summed by task. There are at most as many as the sample has words.
+    """
+    found = texts.mapInArrow(_count_words, "history long, word long, ordinary long, toxic long, corpus long")
+    summed = (
+        found.repartition("history")
         .groupBy("history", "word")
         .agg(*(F.sum(c).alias(c) for c in (*CLASSES, "corpus")))
     )
+    same = Window.partitionBy("history")
+    of_history = {f"{c}_sum": F.sum(c).over(same) for c in CLASSES}
+    of_history |= {f"{c}_pairs": _many(F.col(c) > 0).over(same) for c in CLASSES}
+    return summed.withColumns(of_history)
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -152,10 +167,6 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
     return {name: table[name].to_numpy() for name in table.column_names}
 
 
-def _many(condition: Column) -> Column:
-    return F.count(F.when(condition, 1))
-
-
 def _totals(df: DataFrame, *more: Column) -> dict[str, float]:
     """Sums of both classes, and how many rows have 1, 2 and any."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]
@@ -166,14 +177,17 @@ def _totals(df: DataFrame, *more: Column) -> dict[str, float]:
 def fit(counts: DataFrame) -> Model | None:
     """The model of summed ``counts``; None if a class has no words.
 
-    The ratios are computed by joins. Driver: one number for each word, word before and pair of
-    the sample, which its bytes bound.
+    Driver and broadcasts: some numbers for each word, word before and pair of the sample, which
+    its bytes bound.
     """
-    pairs = counts.where("history is not null")
+    pairs = counts.where("ordinary + toxic > 0")
     of_pairs = _totals(pairs)
     if not all(of_pairs[c] for c in CLASSES):
         return None
-    by_word = counts.groupBy("word").agg(F.sum("corpus").alias("corpus"), *(_many(F.col(c) > 0).alias(c) for c in CLASSES))
+    by_word = stage(
+        counts.groupBy("word").agg(F.sum("corpus").alias("corpus"), *(_many(F.col(c) > 0).alias(c) for c in CLASSES)),
+        "toxicity-words",
+    )
     of_words = _totals(by_word, F.sum("corpus").alias("corpus"), F.count("*").alias("types"))
     share = (F.col("corpus") + 0.5) / (of_words["corpus"] + 0.5 * of_words["types"])
     alone, back, both, unseen = [], [], [], []
@@ -183,21 +197,18 @@ def fit(counts: DataFrame) -> Model | None:
         unseen.append(rest)
         alone.append((F.greatest(F.col(c) - d, F.lit(0.0)) / of_words[c] + rest * share).alias(f"{c}_alone"))
         d = _discount(of_pairs[f"{c}_1"], of_pairs[f"{c}_2"])
-        sums, types = F.sum(c), _many(F.col(c) > 0)
-        back.append(F.when(sums > 0, d * types / sums).otherwise(1.0).alias(f"{c}_back"))
-        back.append(F.greatest(sums, F.lit(1)).alias(f"{c}_sum"))
-        kept = F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"{c}_sum")
-        both.append(kept + F.col(f"{c}_back") * F.col(f"{c}_alone"))
+        sums = F.col(f"{c}_sum")
+        back.append(F.when(sums > 0, d * F.col(f"{c}_pairs") / sums).otherwise(1.0))
+        both.append(F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(sums, F.lit(1)) + back[-1] * F.col(f"{c}_alone"))
     of_word = by_word.where("ordinary + toxic > 0").select("word", *alone)
-    of_history = pairs.groupBy("history").agg(*back)
-    of_pair = pairs.join(of_word, "word").join(of_history, "history")
+    of_pair = pairs.join(F.broadcast(of_word), "word")
 
     def ratio(over: Column, under: Column) -> Column:
         return F.log(over / under).cast("float").alias("ratio")
 
     pair = _columns(of_pair.select("history", "word", ratio(both[1], both[0])))
     word = _columns(of_word.select("word", ratio(F.col("toxic_alone"), F.col("ordinary_alone"))))
-    history = _columns(of_history.select("history", ratio(F.col("toxic_back"), F.col("ordinary_back"))))
+    history = _columns(pairs.groupBy("history").agg(F.first(ratio(back[1], back[0])).alias("ratio")))
     parts = [(word["word"], word["ratio"]), (history["history"], history["ratio"])]
     parts.append((pair_keys(pair["history"], pair["word"]), pair["ratio"]))
     ordered = [x[order] for keys, values in parts for order in [np.argsort(keys)] for x in (keys, values)]
