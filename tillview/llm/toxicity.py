@@ -47,7 +47,8 @@ CLASSES = ("ordinary", "toxic")
 
 #: What stands before the first word of a text.
 START = 0
-FLUSH_WORDS = 1 << 21
+FLUSH_WORDS = 1 << 20
+SAMPLE_BUCKETS = 1 << 12
 
 
 def _many(condition: Column) -> Column:
@@ -128,6 +129,13 @@ def count_words(texts: DataFrame) -> DataFrame:
     return summed.withColumns(of_history)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        history, word = (batch.column(i).to_numpy() for i in range(2))
+        key = pa.array(pair_keys(history, word).view(np.int64))
+        yield pa.RecordBatch.from_arrays([key, batch.column(2)], ["key", "ratio"])
+
+
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Values of sorted keys, NaN for others."""
     one, which = np.unique(wanted, return_inverse=True)
@@ -206,11 +214,11 @@ def fit(counts: DataFrame) -> Model | None:
     def ratio(over: Column, under: Column) -> Column:
         return F.log(over / under).cast("float").alias("ratio")
 
-    pair = _columns(of_pair.select("history", "word", ratio(both[1], both[0])))
+    pair = _columns(of_pair.select("history", "word", ratio(both[1], both[0])).mapInArrow(_keyed, "key long, ratio float"))
     word = _columns(of_word.select("word", ratio(F.col("toxic_alone"), F.col("ordinary_alone"))))
     history = _columns(pairs.groupBy("history").agg(F.first(ratio(back[1], back[0])).alias("ratio")))
     parts = [(word["word"], word["ratio"]), (history["history"], history["ratio"])]
-    parts.append((pair_keys(pair["history"], pair["word"]), pair["ratio"]))
+    parts.append((pair["key"].view(np.uint64), pair["ratio"]))
     ordered = [x[order] for keys, values in parts for order in [np.argsort(keys)] for x in (keys, values)]
     return Model(*ordered, float(np.log(unseen[1] / unseen[0])))
 
@@ -261,7 +269,8 @@ def sample_labels(
 ) -> DataFrame:
     """Labels of the rows to fit on: in hash order, at most ``rows``, their texts at most ``size`` bytes.
 
-    Texts of more than a 64th of ``size`` come after all others. Ids without a document go.
+    Whole buckets of hashes are taken while they fit, of which there are ``SAMPLE_BUCKETS``. Texts
+    of more than a 64th of ``size`` come after all others. Ids without a document go.
     """
     total = known.count()
     if total > rows:
@@ -274,9 +283,19 @@ def sample_labels(
         .agg(F.sum("label_bytes").alias("label_bytes"))
     )
     sizes = stage(sizes, "toxicity-sizes")
-    order = Window.orderBy(F.col("label_bytes") > size // 64, F.xxhash64("label_key"), "label_key")
-    running = F.sum("label_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("label_upto", running).where(F.col("label_upto") <= size).select("label_key", "label")
+    bucket = [
+        (F.col("label_bytes") > size // 64).alias("label_long"),
+        F.pmod(F.xxhash64("label_key"), F.lit(SAMPLE_BUCKETS)).alias("label_bucket"),
+    ]
+    buckets = sizes.groupBy(*bucket).agg(F.sum("label_bytes").alias("label_bytes"))
+    order = Window.orderBy("label_long", "label_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = buckets.withColumn("label_upto", F.sum("label_bytes").over(order))
+    kept = upto.where(F.col("label_upto") <= size).select("label_long", "label_bucket")
+    return (
+        sizes.select("label_key", "label", *bucket)
+        .join(F.broadcast(kept), ["label_long", "label_bucket"])
+        .select("label_key", "label")
+    )
 
 
 def score_toxicity(
