@@ -151,3 +151,18 @@ def test_pareto_holds_no_store_in_one_task(stored):
     text = plan(pareto_customers(stored))
     assert "rangepartitioning(block" in text
     assert not re.search(r"windowspecdefinition\(store#\d+, net", text)
+
+
+def test_rows_of_a_file_are_not_gathered(spark, tmp_path):
+    """The list of files is broadcast whatever its estimated size, so no task gets all rows of a file."""
+    path = str(tmp_path / "lines")
+    sales_table(spark, SF_DIR).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = read_sales(spark, path)
+        text = plan(read)
+        assert "SortMergeJoin" not in text and "hashpartitioning(__path" not in text
+        assert read.select("source_position.row").distinct().count() == read.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -80,12 +80,13 @@ def normalize(df: DataFrame, names: dict[str, str] = SOURCE_NAMES, money: str =
 def _with_position(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """Adds the place of each row: number of the input, of the file in it, and of the row in that.
 
-    The size of the list of files decides how it is joined.
+    The list of files, which the driver holds anyway, is broadcast: matched by path in a shuffle,
+    all rows of a file would meet in one task.
     """
     numbered = rows.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
     position = F.struct("input", "file", F.col("__row").alias("row"))
     return (
-        numbered.join(numbers, "__path", "left")
+        numbered.join(F.broadcast(numbers), "__path", "left")
         .withColumn(POSITION, position)
         .drop("__path", "__row", "input", "file")
     )
