@@ -166,3 +166,14 @@ def test_rows_of_a_file_are_not_gathered(spark, tmp_path):
         assert read.select("source_position.row").distinct().count() == read.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_a_region_are_not_gathered(spark, stored):
+    """The periods of the regions are broadcast whatever their estimated size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(region_period(stored, Period("month")))
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -76,7 +76,8 @@ def region_period(
     The default is the latest period of all rows; rows without a region are
     then left out. A narrow pass finds the period before the chosen one in each
     region; sums and distinct counts see the rows of these two only. The periods
-    found are one row per region, whose measured size decides how they are joined.
+    found are one row per region, as the report is, and are broadcast: matched in a
+    shuffle, all rows of a region would meet in one task.
     """
     require(sales, "region", "gross", "net", "doc_no", "phone")
     rows, chosen = choose_period(sales, period, year, key)
@@ -90,7 +91,7 @@ def region_period(
         .filter(chosen)
         .select("region", F.col("start").alias("this"), "before")
     )
-    of_both = rows.join(starts, "region").filter(start.isin(F.col("this"), F.col("before")))
+    of_both = rows.join(F.broadcast(starts), "region").filter(start.isin(F.col("this"), F.col("before")))
     totals = by_period(of_both, period, ["region", "this"], sales_totals())
     compared = compare_with_previous(_with_discount(totals), COMPARED, by_region)
     return (
