@@ -4,10 +4,11 @@ import logging
 import pytest
 from rows import sales, values
 
+from tillview.catalog.tables import sales_table
 from tillview.operators.filters import filtered_rows
 from tillview.schema import POSITION, Filters
 from tillview.sinks.export import write_report
-from tillview.sources import files
+from tillview.sources import files, session
 from tillview.sources.reader import choose_source, normalize, read_sales
 from tillview.sources.staging import check_shared, drop_staged, shared_folder, stage
 
@@ -216,3 +217,25 @@ def test_stage_uses_the_shared_folder(spark):
     drop_staged(spark)
     with pytest.raises(Exception):
         df.collect()
+
+
+def test_shuffles_grow_with_the_input(spark, two_files, monkeypatch):
+    """Partitions follow the size of what is read; they are raised, never lowered, and merged when small."""
+    monkeypatch.setattr(session, "PARTITION_BYTES", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        size = session.input_bytes(spark, list(two_files))
+        counts = read_sales(spark, list(two_files)).groupBy("note").count()
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert size > 900 and f", {size // 100})" in plan
+        session.widen_shuffles(spark, 900)
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == str(size // 100)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        spark.conf.unset(session.INITIAL_PARTITIONS)
+        monkeypatch.setattr(session, "PARTITION_BYTES", 10_000)
+        totals = sales_table(spark, "/root/testdata/sf0.01", "doc_no store").groupBy("doc_no").count()
+        tables = [f"/root/testdata/sf0.01/{name}.parquet" for name in ("lineitem", "supplier")]
+        plan = totals._jdf.queryExecution().executedPlan().toString()
+        assert f", {session.input_bytes(spark, tables) // 10_000})" in plan
+    finally:
+        spark.conf.unset(session.INITIAL_PARTITIONS)

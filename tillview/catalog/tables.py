@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillview.sources.session import input_bytes, widen_shuffles
+
 ORDER_COLUMNS = {"order_ts", "phone"}
 CUSTOMER_COLUMNS = {"customer_name", "name_check", "phone_status"}
 PART_COLUMNS = {"brand", "product_group"}
@@ -31,7 +33,11 @@ EXPRESSIONS = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(_path(sf_dir, name))
+
+
+def _path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def sales_table(spark: SparkSession, sf_dir: str, columns: str | None = None) -> DataFrame:
@@ -41,12 +47,16 @@ def sales_table(spark: SparkSession, sf_dir: str, columns: str | None = None) ->
     unique key, so no line is lost or repeated. Orders get their customers before
     the much larger line table is joined. Lines and orders both grow without
     bound, so they are merged by key, which also spreads the lines over all
-    tasks; for the other tables the measured sizes decide.
+    tasks; for the other tables the measured sizes decide. Shuffles get partitions
+    in proportion to the tables read.
     """
     wanted = columns.split() if columns else list(EXPRESSIONS)
     need = set(wanted)
 
+    paths = []
+
     def table(name: str) -> DataFrame:
+        paths.append(_path(sf_dir, name))
         return read_table(spark, sf_dir, name)
 
     lines = table("lineitem")
@@ -65,11 +75,13 @@ def sales_table(spark: SparkSession, sf_dir: str, columns: str | None = None) ->
             )
             stores = stores.join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
         lines = lines.join(stores, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    widen_shuffles(spark, input_bytes(spark, paths))
     return lines.select(*(F.expr(EXPRESSIONS[c]).alias(c) for c in wanted))
 
 
 def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events seen as sales, for times of day."""
+    widen_shuffles(spark, input_bytes(spark, [_path(sf_dir, "events")]))
     return read_table(spark, sf_dir, "events").select(
         F.col("ts").alias("order_ts"),
         F.col("event_id").cast("string").alias("doc_no"),

@@ -33,13 +33,13 @@ def _reader(spark: SparkSession, base: str | None) -> DataFrameReader:
     return spark.read.option("basePath", base) if base else spark.read
 
 
-def list_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Data files of an input in order: how to read each, and what its rows call it.
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """Data files of an input in order: how to read each, what its rows call it, and its size.
 
     Contents are not read; the driver holds the names, as it does in any read.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return sorted(tuple(r) for r in listed.select("path", "_metadata.file_path").collect())
+    return sorted(tuple(r) for r in listed.select("path", "_metadata.file_path", "length").collect())
 
 
 def _merged(spark: SparkSession, files: list[str], base: str | None) -> StructType:

@@ -14,6 +14,7 @@ from pyspark.sql.types import DataType, DecimalType
 
 from tillview.schema import MONEY_COLUMNS, MONEY_PRECISION, MONEY_SCALE, MONEY_TYPE, POSITION, SOURCE_NAMES
 from tillview.sources.files import file_groups, list_files, read_group, reason
+from tillview.sources.session import widen_shuffles
 
 log = logging.getLogger(__name__)
 
@@ -124,10 +125,12 @@ def read_sales(
     no rows, with a warning. ``persist`` keeps the table on the executors for reuse by all
     reports. The driver lists the files; their footers are read by a distributed job. Without
     ``positions`` rows do not know their place, which only the customer list asks for (it then
-    takes first values by time), and no row is joined with its file.
+    takes first values by time), and no row is joined with its file. Shuffles of the session get
+    partitions in proportion to the inputs.
     """
     inputs = [paths] if isinstance(paths, str) else list(paths)
     places: dict[str, tuple[str, int, int]] = {}
+    size = 0
     plain: list[str] = []
     foldered: dict[str, list[str]] = {}
     for ordinal, path in enumerate(inputs):
@@ -138,12 +141,14 @@ def read_sales(
                 raise
             log.warning("cannot read %s: %s", path, reason(error))
             continue
-        new = [(n, file, name) for n, (file, name) in enumerate(listed) if file not in places]
+        new = [(n, file, name) for n, (file, name, _) in enumerate(listed) if file not in places]
+        size += sum(length for file, _, length in listed if file not in places)
         places |= {file: (name, ordinal, n) for n, file, name in new}
         own = plain
         if any("=" in file.rsplit("/", 2)[-2] for _, file, _ in new):
             own = foldered.setdefault(path, [])
         own += [file for _, file, _ in new]
+    widen_shuffles(spark, size)
     numbers = spark.createDataFrame(list(places.values()), "__path string, input int, file int")
     groups = file_groups(spark, plain, skip_corrupt)
     for path, files in foldered.items():
