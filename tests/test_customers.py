@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 from rows import sales, values
 
+from tillview.plans import customers
 from tillview.plans.customers import (
     build_customers,
     customer_columns,
@@ -17,6 +18,7 @@ from tillview.plans.customers import (
 )
 from tillview.schema import CustomerParams, Filters
 from tillview.sources.reader import read_sales
+from tillview.sources.staging import stage
 
 BASE = (
     "order_ts", "gross", "net", "doc_no", "phone", "store", "customer_name", "name_check", "phone_status",
@@ -163,3 +165,28 @@ def test_new_and_returning(spark):
     assert joined.count() == 5
     assert joined.filter("phone = 'old' and first_date = timestamp_ntz'2024-01-01'").count() == 2
     assert joined.filter("phone is null and first_date is null").count() == 1
+
+
+def test_orders_and_first_values_over_texts_that_differ_within_a_document(spark):
+    """A document counts once however its texts vary; lines without one count for amounts only."""
+    rows = [
+        row("2024-01-02", 1, "a", "p", name="late", check=None),
+        row("2024-01-01", 2, "a", "p", name=None, check="b", status=None),
+        row("2024-01-01", 4, "a", "p", name="m", check="a", status="invalid"),
+        row("2024-01-01", 8, None, "p", name=None, check="0", status=None),
+        row("2024-01-03", 16, None, "p", name="z"),
+        row("2024-01-03", 16, "b", "p", name="z"),
+    ]
+    got = build_customers(table(spark, rows)).first()
+    assert (got.orders, float(got.net)) == (2, 47.0)
+    assert (got.customer_name, got.name_check, got.phone_status) == ("m", "0", "invalid")
+
+
+def test_lines_and_customers_move_once_each(spark, monkeypatch):
+    """Documents are complete where their lines meet, so they are not dealt out again."""
+    written = []
+    monkeypatch.setattr(customers, "stage", lambda df, label: written.append(df) or stage(df, label))
+    lines = table(spark, [row("2024-01-01", 1, str(i), "p") for i in range(5)])
+    assert customer_list(lines, EVERYONE).count() == 1
+    text = written[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert text.count("hashpartitioning") == 2

@@ -36,6 +36,8 @@ from tillview.schema import (
 from tillview.sources.staging import stage
 
 CUSTOMER_TEXTS = ("customer_name", "name_check", "phone_status")
+#: Lines without a document are dealt to so many parts per customer.
+PARTS = 256
 
 
 def first_purchase(df: DataFrame) -> DataFrame:
@@ -96,16 +98,23 @@ def _documents(sales: DataFrame, keys: list[str]) -> DataFrame:
     """Lines combined by customer, document and texts: the only pass over them.
 
     Texts are grouping keys here, and all that is summed or compared has a fixed size, so lines
-    are hashed and never sorted. Few rows per document are left, whatever its lines.
+    are hashed and never sorted. The lines of a document meet before they are combined, so documents
+    need not move again; lines without a document are dealt out by ``part``.
     """
     texts = [c for c in CUSTOMER_TEXTS if c not in keys]
-    place = [F.min(_packed(F.col(POSITION))).alias("place")] if POSITION in sales.columns else []
-    return sales.groupBy(*keys, "doc_no", *texts).agg(
-        total("gross").alias("gross"),
-        total("net").alias("net"),
-        F.min("order_ts").alias("first_order"),
-        F.max("order_ts").alias("last_order"),
-        *place,
+    place = [_packed(F.col(POSITION)).alias("place")] if POSITION in sales.columns else []
+    part = F.when(F.col("doc_no").isNull(), F.pmod(F.xxhash64("order_ts", "gross", "net"), F.lit(PARTS)))
+    lines = sales.select(*keys, "doc_no", part.alias("part"), *texts, "gross", "net", "order_ts", *place)
+    return (
+        lines.repartition(*keys, "doc_no", "part")
+        .groupBy(*keys, "doc_no", "part", *texts)
+        .agg(
+            total("gross").alias("gross"),
+            total("net").alias("net"),
+            F.min("order_ts").alias("first_order"),
+            F.max("order_ts").alias("last_order"),
+            *(F.min(c).alias(c) for c in ("place",) if place),
+        )
     )
 
 
@@ -120,30 +129,43 @@ def _group_customers(sales: DataFrame, params: CustomerParams) -> DataFrame:
 
     Rows without a phone or store belong to no customer but count for the latest order and the
     checks present, so they are grouped too. First values that are not null are taken in
-    input order where rows have a position, else by time, document and value.
+    input order where rows have a position, else by time, document and value. Lines and customers
+    are shuffled once each: a document is whole in one task before its customer's are brought together.
     """
     keys = ["phone", "store"] if params.per_store else ["phone"]
     require(sales, *keys, "gross", "net", "doc_no", *CUSTOMER_TEXTS)
-    documents = _documents(sales, keys)
+    lines = _documents(sales, keys)
+    order = ["place"] if "place" in lines.columns else ["first_order", "doc_no"]
 
-    def first_present(name: str) -> Column:
-        value = F.col(name)
-        place = F.col("place") if "place" in documents.columns else F.struct("first_order", "doc_no", name)
-        return F.min_by(value, F.when(value.isNotNull(), place)).alias(name)
+    def present(name: str) -> Column:
+        """A value with its place, if it has both."""
+        found = F.col(name).isNotNull()
+        if "place" in order:
+            found &= F.col("place").isNotNull()
+        return F.when(found, F.struct(*order, name))
 
     check = F.col("name_check")
     chosen = selected_values(params.name_check)
-    grouped = documents.groupBy(*keys).agg(
-        *(first_present(c) for c in ("customer_name", "name_check")),
+    documents = lines.groupBy(*keys, "doc_no", "part").agg(
+        *(F.min(present(c)).alias(c) for c in CUSTOMER_TEXTS),
         total("gross").alias("gross"),
         total("net").alias("net"),
-        distinct("doc_no", "orders"),
         F.min("first_order").alias("first_order"),
         F.max("last_order").alias("last_order"),
-        first_present("phone_status"),
         F.max(check.isNotNull()).alias("any_check"),
         F.max(strip(check).isin(chosen) if chosen else F.lit(False)).alias("chosen_check"),
     )
+    grouped = documents.groupBy(*keys).agg(
+        *(F.min(c)[c].alias(c) for c in ("customer_name", "name_check")),
+        total("gross").alias("gross"),
+        total("net").alias("net"),
+        F.count("doc_no").alias("orders"),
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
+        F.min("phone_status")["phone_status"].alias("phone_status"),
+        F.max("any_check").alias("any_check"),
+        F.max("chosen_check").alias("chosen_check"),
+    )
     return stage(grouped, "customers")
 
 
