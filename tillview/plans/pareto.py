@@ -37,22 +37,28 @@ def _slice(rows: Column, params: ParetoParams) -> tuple[Column, Column]:
 def _rank(customers: DataFrame, params: ParetoParams, blocks: int | None) -> DataFrame:
     """Rank and accumulate, carried from block to block.
 
-    Blocks outside every slice are dropped before their rows are moved.
+    The order needs no total, so customers are ranged as they are; a store's total is summed
+    over its blocks. Blocks outside every slice are dropped before their rows are moved.
     """
-    stores = customers.groupBy("store").agg(F.sum("net").alias("store_net"))
-    valued = customers.join(stores, "store").withColumn("points", _points(F.col("store_net"))).drop("store_net")
-    ranked = ordered_blocks(valued, "store", _by_net(), blocks)
-    sums = block_sums(ranked, "store", {"rows": F.count("*"), "points": F.sum("points")})
+    ranked = ordered_blocks(customers, "store", _by_net(), blocks)
+    nets = block_sums(ranked, "store", {"net": F.sum("net")})
+    stores = nets.select("block", "store", F.col("net_total").alias("store_net"))
+    points = _points(F.col("store_net"))
+    valued = ranked.select("block", "store", "net").join(stores, ["block", "store"]).withColumn("points", points)
+    sums = block_sums(valued, "store", {"rows": F.count("*"), "points": F.sum("points")})
     first, last = _slice(F.col("rows_total"), params)
     touched = (
         sums.withColumns({"first": first, "last": last})
         .filter("rows_before < last AND rows_before + rows > first")
         .select("block", "store", "rows_before", "points_before", "first", "last")
+        .join(stores, ["block", "store"])
     )
     inside = Window.partitionBy("block", "store").orderBy(*_by_net())
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         ranked.join(touched, ["block", "store"])
+        .withColumn("points", points)
+        .drop("store_net")
         .repartitionByRange("block")
         .withColumns(
             {
