@@ -10,7 +10,7 @@ from tillview.llm.bpe import round_trip
 from tillview.llm.decontaminate import find_contaminated
 from tillview.llm.disclosure import sanitise
 from tillview.llm.near_duplicates import near_duplicates
-from tillview.llm.quality import score_quality
+from tillview.llm.quality import good_documents
 from tillview.sources.staging import stage
 
 KEY = "doc_id"
@@ -37,9 +37,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, row by row."""
-    docs, key = _numbered(docs)
-    scored = score_quality(docs, _table(spark, sf_dir, "labels"), keep=() if key == KEY else (key,))
-    return _without(docs, scored.where("predicted = 0"), key).drop(ROW)
+    return good_documents(docs, _table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import unicodedata
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
-from llm_rows import SMALL, table
+from llm_rows import CLASHES, SMALL, table
+from pyspark.sql import functions as F
 from test_llm_pairs import brute_contaminated, brute_near
 from test_llm_text import PATH, _entities, brute_terms
 
@@ -89,6 +90,17 @@ def test_filters_decide_per_row(spark):
         assert {r.text for r in left} == {texts[good].text}
 
 
+def test_quality_moves_no_texts(spark):
+    docs = table(spark, "documents")
+    good = {r.doc_id for r in score_quality(docs, table(spark, "labels")).collect() if r.predicted}
+    wide = docs.withColumns({c: F.lit(c) for c in CLASHES})
+    left = corpus_pipeline.keep_good(spark, wide, SMALL)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join|Exchange|Sort", plan)
+    assert left.schema.names == wide.schema.names
+    assert sorted(left.collect()) == sorted(wide.where(F.col("doc_id").isin(good)).collect())
+
+
 def test_registered_queries():
     names = entry_point.queries()
     for n in range(1, 11):

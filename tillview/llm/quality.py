@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -31,6 +31,9 @@ STATISTICS = (
     "distinct_words", "top_word", "repeats", "distinct_trigrams", "wordless", "odd_ends",
 )
 
+#: Statistics beside the columns of a document, whatever their names.
+MEASURED = "__statistics"
+
 
 def _table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
@@ -100,23 +103,30 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     ])
 
 
-def with_statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` of every document and its ``statistics``, without the text."""
-    schema = documents.select(*keep).schema.add("statistics", ArrayType(DoubleType()))
+def _lists(column: pa.Array) -> pa.Array:
+    """A list of ``STATISTICS`` for each text of a column."""
+    found = [statistics(data, at) for _, data, at in slices(column)]
+    rows = np.concatenate(found) if found else np.zeros((0, len(STATISTICS)))
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS), pa.array(rows.ravel()))
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+
+
+def with_statistics(
+    documents: DataFrame, text: str = "text", keep: tuple[str, ...] = (), name: str = "statistics"
+) -> DataFrame:
+    """The columns ``keep`` of every document and its statistics; the text only if it is kept."""
+    schema = documents.select(*keep).schema.add(name, ArrayType(DoubleType()))
+    columns = list(dict.fromkeys([*keep, text]))
+    place = columns.index(text)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(keep))
-            found = [statistics(data, at) for _, data, at in slices(column)]
-            rows = np.concatenate(found) if found else np.zeros((0, len(STATISTICS)))
-            lists = pa.ListArray.from_arrays(
-                np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS), pa.array(rows.ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], lists], [*keep, "statistics"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], _lists(batch.column(place))], [*keep, name])
 
-    return documents.select(*keep, text).mapInArrow(compute, schema)
+    return documents.select(*columns).mapInArrow(compute, schema)
 
 
 @dataclass(frozen=True)
@@ -152,7 +162,7 @@ def fit(labelled: DataFrame, pooled: float = 0.1, ridge: float = 0.02) -> Discri
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = _rows(batch.column(0))
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for label in (0, 1):
                 own = x[y == label]
@@ -195,6 +205,12 @@ def fit(labelled: DataFrame, pooled: float = 0.1, ridge: float = 0.02) -> Discri
     return Discriminant(centre, scale, at, tuple(whiten), float(offset))
 
 
+def _learn(rows: DataFrame, labels: DataFrame, fold: Column, key: str, label: str) -> Discriminant | Constant:
+    """Fit on the labelled ones among ``rows`` (``key`` and ``statistics``) outside ``fold``."""
+    known = rows.select(key, "statistics").where(~fold)
+    return fit(known.join(one_label(labels, key, label), F.col(key) == F.col("label_key")))
+
+
 def score_quality(
     documents: DataFrame,
     labels: DataFrame,
@@ -213,13 +229,11 @@ def score_quality(
     """
     rows = stage(with_statistics(documents, text, (key, *keep)), "quality")
     fold = remainder(key, folds) == held_out
-    known = rows.where(~fold).join(one_label(labels, key, label), F.col(key) == F.col("label_key"))
-    model = fit(known)
+    model = _learn(rows, labels, fold, key, label)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(len(keep) + 2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            score = model.score(x)
+            score = model.score(_rows(batch.column(len(keep) + 2)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 [key, *keep, "held_out", "score", "predicted"],
@@ -227,3 +241,30 @@ def score_quality(
 
     schema = documents.select(key, *keep).schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     return rows.select(key, *keep, fold.alias("held_out"), "statistics").mapInArrow(apply, schema)
+
+
+def good_documents(
+    documents: DataFrame,
+    labels: DataFrame,
+    folds: int = 4,
+    held_out: int = 2,
+    threshold: float = 0.7,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+) -> DataFrame:
+    """The rows of ``documents`` that ``score_quality`` predicts 1 for, with all their columns.
+
+    Each row is written once with its statistics and kept or left out where it lies, so texts
+    are neither shuffled nor sorted.
+    """
+
+    rows = stage(with_statistics(documents, text, tuple(documents.columns), MEASURED), "quality")
+    model = _learn(rows.select(key, F.col(MEASURED).alias("statistics")), labels, remainder(key, folds) == held_out, key, label)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array(model.score(_rows(batch.column(batch.num_columns - 1))) >= threshold)
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+    return rows.mapInArrow(good, documents.schema)
